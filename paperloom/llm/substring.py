@@ -60,26 +60,55 @@ def _anchor_counts(window: int, anchor: int):
     return run
 
 
-_ROW = "doc long, start int, h1 long, h2 int, ref_doc long, ref_start int"
+_ROW = "doc long, start int, n int, key long, hashes binary, ref_doc long, ref_start int"
+#: Bytes of a window's hash.
+_WIDTH = 12
+
+
+def _runs(*steps: tuple[np.ndarray, int]) -> np.ndarray:
+    """Where a new run begins: each array must go on by its step."""
+    n = len(steps[0][0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for x, by in steps:
+        new[1:] |= x[1:] != x[:-1] + by
+    return np.flatnonzero(new)
 
 
 def _windows(window: int, anchor: int, repeated):
-    """Windows whose anchor may occur again. Of equal ones in a block only the first is asked about; for the others it is the reference."""
+    """Windows whose anchor may occur again, in runs.
+
+    Of equal windows in a block only the first is asked about, with others of its anchor
+    in one row; for the others it is the reference, and they come as settled runs.
+    """
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        doc, start, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((start, doc, h2, h1))
-        doc, start, h1, h2 = doc[order], start[order], h1[order], h2[order]
-        head = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
+        doc, start, place, key, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((start, doc, h["b"], h["a"]))
+        doc, start, place, key, h = doc[order], start[order], place[order], key[order], h[order]
+        head = np.concatenate(([True], h[1:] != h[:-1]))
         lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-        known = (doc > doc[lead]) | (start > start[lead])
-        keep = head | known  # the same place given twice is asked about once
-        nulls = ~known
-        doc, start, h1, h2, ref_doc, ref_start, nulls = doc[keep], start[keep], h1[keep], h2[keep], doc[lead][keep], start[lead][keep], nulls[keep]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(start), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int32)), pa.array(ref_doc, mask=nulls), pa.array(ref_start, mask=nulls)],
-            ["doc", "start", "h1", "h2", "ref_doc", "ref_start"],
-        )
+        ref_doc, ref_start = doc[lead], start[lead]
+        known = (doc > ref_doc) | (start > ref_start)
+        out = []
+        at = np.flatnonzero(known)
+        at = at[np.lexsort((start[at], doc[at]))]
+        d, s, rd, rs = doc[at], start[at], ref_doc[at], ref_start[at]
+        first = _runs((d, 0), (s, 1), (rd, 0), (rs, 1)) if len(at) else at
+        size = np.diff(np.append(first, len(at))).astype(np.int32)
+        none = pa.nulls(len(first))
+        out.append([pa.array(d[first]), pa.array(s[first]), pa.array(size), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(rd[first]), pa.array(rs[first])])
+        at = np.flatnonzero(head)  # the same place given twice is asked about once
+        at = at[np.lexsort((start[at], doc[at]))]
+        d, s, p = doc[at], start[at], place[at]
+        first = _runs((d, 0), (s, 1), (p, 0)) if len(at) else at
+        ends = np.append(first, len(at))
+        raw = np.ascontiguousarray(h[at]).tobytes()
+        offsets = pa.array((ends * _WIDTH).astype(np.int32))
+        hashes = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets.buffers()[1], pa.py_buffer(raw)])
+        none = pa.nulls(len(first))
+        out.append([pa.array(d[first]), pa.array(s[first]), pa.array(np.diff(ends).astype(np.int32)), pa.array(key[at][first].view(np.int64)), hashes, none.cast(pa.int64()), none.cast(pa.int32())])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], ["doc", "start", "n", "key", "hashes", "ref_doc", "ref_start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -89,16 +118,17 @@ def _windows(window: int, anchor: int, repeated):
             for lo, hi, data, offs in column_slices(b.column(1)):
                 w = words_of(data, offs, PLAIN)
                 h = w.hashes()
-                starts, _, key = anchors(w, h, window, anchor)
-                starts = starts[in_filter(repeated.value, key)]
+                starts, place, key = anchors(w, h, window, anchor)
+                maybe = in_filter(repeated.value, key)
                 seen += len(data)
-                if len(starts):
+                if maybe.any():
                     _, one = w.shingles(h, window)
-                    index = np.cumsum(np.arange(len(h)) + window <= np.repeat(w.first[1:], w.counts())) - 1
-                    g = mix(w.hashes(1))
-                    _, two = w.shingles(g, window, 1)
+                    _, two = w.shingles(mix(w.hashes(1)), window, 1)
+                    both = np.empty(int(maybe.sum()), np.dtype([("a", "<u8"), ("b", "<u4")]))
+                    both["a"], both["b"] = one[maybe], two[maybe] >> np.uint64(32)
+                    starts, place, key = starts[maybe], place[maybe], key[maybe]
                     row = np.searchsorted(w.first, starts, side="right") - 1
-                    parts.append((ids[lo:hi][row], (starts - w.first[row]).astype(np.int32), one[index[starts]], (two[index[starts]] >> np.uint64(32)).astype(np.uint32)))
+                    parts.append((ids[lo:hi][row], (starts - w.first[row]).astype(np.int32), (place - w.first[row]).astype(np.int32), key, both))
                 if seen >= BLOCK_BYTES and parts:
                     yield settle(parts)
                     parts, seen = [], 0
@@ -109,7 +139,7 @@ def _windows(window: int, anchor: int, repeated):
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, start, ref_doc, ref_start): every window whose words also start earlier, with its first place or an earlier one.
+    """(doc, start, n, ref_doc, ref_start): runs of n windows whose words also start earlier, with that earlier place.
 
     ``docs`` has doc (long, not null) and text. Earlier means a smaller doc, or the same
     doc and a smaller start.
@@ -118,31 +148,31 @@ def repeated_windows(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) ->
     counts = docs.select("text").mapInArrow(_anchor_counts(window, anchor), "key long, n byte")
     repeated = docs.sparkSession.sparkContext.broadcast(fixed_filter(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")))
     rows = docs.select("doc", "text").mapInArrow(_windows(window, anchor, repeated), _ROW)
-    # windows that are settled within their block only pass through: they go anywhere
-    h1 = F.when(F.col("ref_doc").isNull(), F.col("h1")).otherwise(F.xxhash64("doc", "start"))
-    same = Window.partitionBy("k", "h2", "settled").orderBy("doc", "start")
-    rows = rows.withColumn("settled", F.col("ref_doc").isNotNull()).withColumn("k", h1)
+    # equal windows have equal anchors, so the anchor's partition has all of them; settled runs only pass through and go anywhere
+    rows = rows.withColumn("key", F.coalesce("key", F.xxhash64("doc", "start"))).repartition("key")
+    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("hashes", i * _WIDTH + 1, F.lit(_WIDTH)))
+    rows = rows.select("doc", "start", "n", "key", "ref_doc", "ref_start", F.posexplode(F.when(F.col("hashes").isNotNull(), each).otherwise(F.array(F.lit(None).cast("binary")))).alias("i", "h"))
+    rows = rows.select("doc", (F.col("start") + F.col("i")).alias("start"), F.when(F.col("h").isNull(), F.col("n")).otherwise(1).alias("n"), "key", "h", "ref_doc", "ref_start")
+    same = Window.partitionBy("key", "h").orderBy("doc", "start")
     first = rows.withColumn("first", F.first(F.struct("doc", "start")).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    earlier = F.struct("doc", "start") > F.col("first")
-    ref = F.when(F.col("settled"), F.struct(F.col("ref_doc").alias("doc"), F.col("ref_start").alias("start"))).when(earlier, F.col("first"))
-    return first.select("doc", "start", ref.alias("ref")).where("ref IS NOT NULL").select("doc", "start", F.col("ref.doc").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
+    ref = F.when(F.col("h").isNull(), F.struct(F.col("ref_doc").alias("doc"), F.col("ref_start").alias("start"))).when(F.struct("doc", "start") > F.col("first"), F.col("first"))
+    return first.select("doc", "start", "n", ref.alias("ref")).where("ref IS NOT NULL").select("doc", "start", "n", F.col("ref.doc").alias("ref_doc"), F.col("ref.start").alias("ref_start"))
 
 
-def factorise(start: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
-    """Greedy factors (start, words, ref_doc, ref_start) of one document.
+def factorise(start: np.ndarray, n: np.ndarray, ref_doc: np.ndarray, ref_start: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, ref_doc, ref_start) of one document from its runs of repeated windows.
 
     From left to right, a factor runs on while the reference advances with the document;
     where it ends, the next one begins at the next repeated window. Windows that lie
     across two factors are in the input themselves, so no repeat is lost at a boundary.
     """
-    order = np.argsort(start, kind="stable")
-    start, ref_doc, ref_start = start[order], ref_doc[order], ref_start[order]
-    if not len(start):
-        return []
-    cut = (np.diff(start) != 1) | (np.diff(ref_doc) != 0) | (np.diff(ref_start) != 1)
-    head = np.concatenate(([0], np.flatnonzero(cut) + 1))
-    tail = np.concatenate((head[1:], [len(start)])) - 1
-    return [(int(start[a]), int(start[z] - start[a]) + window, int(ref_doc[a]), int(ref_start[a])) for a, z in zip(head, tail, strict=True)]
+    out: list[list[int]] = []
+    for s, k, d, r in sorted(zip(start.tolist(), n.tolist(), ref_doc.tolist(), ref_start.tolist(), strict=True)):
+        if out and (s, d, r) == (out[-1][0] + out[-1][1], out[-1][2], out[-1][3] + out[-1][1]):
+            out[-1][1] += k
+        else:
+            out.append([s, k, d, r])
+    return [(s, k + window - 1, d, r) for s, k, d, r in out]
 
 
 _OUT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: int, words: int, ref_doc: long, ref_start: int>>"
@@ -164,8 +194,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) -> D
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FLOOR)).alias("doc"), F.col("text").cast("string").alias("text"))
     found = repeated_windows(own.select("doc", "text"), window, anchor)
-    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "ref_doc", "ref_start")).alias("w"))
-    joined = own.join(per_doc, "doc", "left").select("doc_id", "text", "w.start", "w.ref_doc", "w.ref_start")
+    per_doc = found.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "ref_doc", "ref_start")).alias("w"))
+    joined = own.join(per_doc, "doc", "left").select("doc_id", "text", "w.start", "w.n", "w.ref_doc", "w.ref_start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,7 +206,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) -> D
                     stay = np.ones(len(words), bool)
                     factors = []
                     if b.column(2)[r].is_valid:
-                        factors = factorise(*(b.column(c)[r].values.to_numpy() for c in (2, 3, 4)), window)
+                        factors = factorise(*(b.column(c)[r].values.to_numpy() for c in (2, 3, 4, 5)), window)
                         for at, n, _, _ in factors:
                             stay[at : at + n] = False
                     n_words.append(len(words))
