@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm, media, quality, simhash, substring, tokens
+from . import chat, decontam, lm, media, mixing, quality, secret_scan, simhash, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(forged)))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"), secret_scan.default_forest(spark))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
 
@@ -53,5 +61,5 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_chat, op5_lm, op6_quality, op8_tokens, op9_media, op10_substring)}
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontam.SQL, "op3_chat": chat.SQL, "op10_substring": substring.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_chat, op4_mixing, op5_lm, op6_quality, op7_secrets, op8_tokens, op9_media, op10_substring)}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontam.SQL, "op3_chat": chat.SQL, "op4_mixing": mixing.sql(), "op10_substring": substring.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, prepare
@@ -100,3 +100,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     degree = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     of = named.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that name their group in ``groups`` (doc_id, component_id); of rows with one doc_id, one stays."""
+    names = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
+    names = materialize(names)
+    kept = docs.join(names, docs["doc_id"].eqNullSafe(names["_kept"]), "left_semi")
+    if names.where("_rows > 1").isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    return kept.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
