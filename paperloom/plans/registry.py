@@ -1,33 +1,8 @@
-"""Registered queries (name -> plan builder) and the SQL that gives the same rows."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregates, graphs, joins, models, sequences, texts  # noqa: F401  they register themselves
+from .base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a plan builder under its name, with its SQL if there is any."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query(
-    """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY CAST(ts AS DATE)), 6) AS share
-    FROM events GROUP BY 1, 2"""
-)
-def share_by_type_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    by = ev.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("day")), 6))
+__all__ = ["QUERIES", "SQL"]
