@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs, simhash.near_duplicates(docs, shingle=5))
+    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id stays."""
+    return simhash.keep_one(docs, simhash.similar_groups(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import FILTER_BITS, LOWER, Words, column_slices, fixed_filter, in_filter, materialize, mix, prepare, words_of
 from .components import connected_components
 
 _CHUNK = 1 << 16
@@ -102,6 +102,114 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+#: Bands of minimum hashes, and rows in each: two sets with a similarity of 0.8 share a band with probability 0.998.
+BANDS, ROWS = 16, 5
+_PERMUTE = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1) | np.uint64(1)
+
+
+def _sets(w: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each row, in order; a row of fewer words has one shingle, of all its words."""
+    h = w.hashes()
+    at, keys = w.shingles(h, shingle)
+    rows = [np.searchsorted(w.first, at, side="right") - 1]
+    parts = [keys]
+    size = w.counts()
+    for k in range(1, shingle):
+        if (size == k).any():
+            at, keys = w.shingles(h, k)
+            of = np.searchsorted(w.first, at, side="right") - 1
+            rows.append(of[size[of] == k])
+            parts.append(keys[size[of] == k])
+    row, key = np.concatenate(rows), np.concatenate(parts)
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[new], key[new]
+
+
+def _per_row(row: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(row, np.arange(n + 1))
+
+
+def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, fp, sid, size, bands): fingerprint, identity and size of the shingle set, hashes of its bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offs in column_slices(b.column(1)):
+                row, key = _sets(words_of(data, offs, LOWER), shingle)
+                at = _per_row(row, hi - lo)
+                sid = [xxhash.xxh3_128_hexdigest(key[i:j].tobytes()) for i, j in zip(at, at[1:], strict=False)]
+                bands = np.zeros((BANDS, hi - lo), np.uint64)
+                full = np.flatnonzero(at[1:] > at[:-1])
+                for k in range(BANDS * ROWS if len(full) else 0):
+                    least = np.minimum.reduceat(key * _PERMUTE[0, k] + _PERMUTE[1, k], at[:-1][full])
+                    bands[k // ROWS, full] = mix(bands[k // ROWS, full] ^ mix(least))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(bands.T).ravel().view(np.int64)))
+                fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1).slice(lo, hi - lo)], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(fps), pa.array(sid), pa.array(np.diff(at), pa.int64()), lists], ["doc_id", "fp", "sid", "size", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, sid string, size long, bands array<long>")
+
+
+def _candidate_sets(docs: DataFrame, shingle: int, wanted) -> DataFrame:
+    """(sid, shingles) of the sets that ``wanted``, a broadcast filter, may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offs in column_slices(b.column(0)):
+                row, key = _sets(words_of(data, offs, LOWER), shingle)
+                at = _per_row(row, hi - lo)
+                found = {}
+                for i, j in zip(at, at[1:], strict=False):
+                    found.setdefault(xxhash.xxh3_128_hexdigest(key[i:j].tobytes()), (i, j))
+                sid = list(found)
+                ask = np.array([int(x[:16], 16) for x in sid], np.uint64)
+                keep = np.flatnonzero(in_filter(wanted.value, ask)) if sid else []
+                yield pa.RecordBatch.from_arrays([pa.array([sid[k] for k in keep], pa.string()), pa.array([key[slice(*found[sid[k]])].view(np.int64) for k in keep], pa.list_(pa.int64()))], ["sid", "shingles"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "sid string, shingles array<long>")
+    return rows.groupBy("sid").agg(F.first("shingles").alias("shingles"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
+    """doc_id, component_id for each row of ``docs``: groups linked by a Jaccard similarity of distinct word shingles.
+
+    A 64-bit SimHash cannot see such a similarity alone: sets at 0.8 lie 4 to 14 bits
+    apart, and no Hamming ball of that radius can be enumerated. So pairs within
+    ``distance`` bits are joined by candidates from bands of minimum hashes, and each
+    candidate pair is verified on the whole sets. In a bucket each set is compared with
+    the first one and with the one before it, never with all. Equal sets are one node.
+    Null and empty texts are equal. ``component_id`` is the smallest doc_id of the group.
+    """
+    prepare(docs.sparkSession)
+    sigs = materialize(_signatures(docs, shingle))
+    nodes = materialize(sigs.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    by_fp = nodes.groupBy("fp").agg(F.min("sid").alias("lead"))
+    bits = links(by_fp, distance)
+    lead = lambda c: by_fp.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_sid"))
+    near = bits.join(lead("a"), "a").join(lead("b"), "b").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    same = nodes.join(by_fp, "fp").where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    bucket = Window.partitionBy("band", "key").orderBy("sid")
+    placed = nodes.where("size > 0").select("sid", F.posexplode("bands").alias("band", "key")).withColumns({"first": F.first("sid").over(bucket.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag("sid").over(bucket)})
+    banded = placed.where("prev IS NOT NULL").select(F.explode(F.array("first", "prev")).alias("a"), F.col("sid").alias("b"))
+    pairs = near.unionByName(same).unionByName(banded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    sizes = nodes.select("sid", "size")
+    pairs = pairs.join(sizes.select(F.col("sid").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("size").alias("nb")), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    pairs = materialize(pairs.select("a", "b"))
+    names = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    high = F.conv(F.left("s", F.lit(16)), 16, -10).cast("long")
+    wanted = docs.sparkSession.sparkContext.broadcast(fixed_filter(names.select(high.alias("key")), FILTER_BITS >> 3))
+    sets = materialize(_candidate_sets(docs, shingle, wanted))
+    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    edges = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    named = nodes.select("sid", "least").join(connected_components(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    of = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
+    return sigs.select("doc_id", "sid").join(of, "sid").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their group in ``groups`` (doc_id, component_id); of rows with one doc_id, one stays."""
     names = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
