@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sentence openers that connect discourse.
 CONNECTORS = (
@@ -37,7 +38,7 @@ def clean_reference(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(title, "[^a-zA-Z0-9]+", " "), r"^[0-9\-]+[a-f]?", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(names: pd.Series) -> pd.Series:
     """entities and diacritics to ASCII; "Last, First" becomes "First Last"."""
 
@@ -84,7 +85,7 @@ def quick_ratio(a: Column, b: Column) -> Column:
     return F.when(both > 0, 2.0 * common / both).otherwise(1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """share of matching blocks."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
@@ -94,13 +95,13 @@ def _percent(x: str, y: str) -> int:
     return round(100 * difflib.SequenceMatcher(None, x, y).ratio())
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def fuzz_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """F8: whole percent."""
     return pd.Series([_percent(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """F8: best ratio among the shared words and each side's shared words with its own."""
 

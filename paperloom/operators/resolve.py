@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from .components import connected_components
@@ -38,7 +39,7 @@ def in_network(refs: DataFrame, edges: DataFrame, papers: DataFrame) -> DataFram
     return hit.groupBy("ref_id").agg(F.min("cited").alias("paper_id"))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def authors_agree(a: pd.Series, b: pd.Series) -> pd.Series:
     """As many names, and equal sets of last names, or equal places but for one in more than three."""
 
