@@ -7,7 +7,6 @@ stage before it kept; all but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paperloom.llm import decontam, mixing, quality, secret_scan, simhash
 from paperloom.llm.common import materialize
@@ -29,8 +28,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of any benchmark item go."""
-    found = decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated").select(F.col("doc_id").alias("_leaks")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_leaks"]), "left_anti")
+    return decontam.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

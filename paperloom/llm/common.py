@@ -93,6 +93,27 @@ def in_filter(bitset: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitset[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """``docs`` in two parts: rows whose ``column`` is surely not in ``ids``, and the few that may be.
+
+    Only the second part needs a join, so a decision about few rows does not shuffle the
+    texts of all others. Null ids are told apart like any other.
+    """
+    prepare(docs.sparkSession)
+    wanted = docs.sparkSession.sparkContext.broadcast(fixed_filter(ids.select(F.xxhash64(column).alias("key"))))
+    marked = docs.withColumn("_mark", F.xxhash64(column))
+
+    def part(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = in_filter(wanted.value, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield b.filter(pa.array(found == inside)).select(list(range(b.num_columns - 1)))
+
+        return marked.mapInArrow(run, docs.schema)
+
+    return part(False), part(True)
+
+
 # --- words ---------------------------------------------------------------------------------------
 
 

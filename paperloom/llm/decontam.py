@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, FILTER_BITS, Words, column_slices, fixed_filter, in_filter, materialize, prepare, words_of
+from .common import ALNUM, FILTER_BITS, Words, column_slices, fixed_filter, in_filter, materialize, prepare, split_by_ids, words_of
 
 #: Words of the shingles that windows are looked up by; shorter windows are looked up whole.
 SHINGLE = 3
@@ -147,6 +147,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
+    """The rows of ``docs`` whose id has fewer than ``min_items`` items with occurring windows; only rows that may go are joined."""
+    found = decontaminate(docs, benchmark, window, min_items).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    found = materialize(found)
+    others, maybe = split_by_ids(docs, found.select(F.col("_id").alias("doc_id")))
+    return others.unionByName(maybe.join(found, maybe["doc_id"].eqNullSafe(found["_id"]), "left_anti"))
+
+
 #: The same for DuckDB.
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, LOWER, Words, column_slices, fixed_filter, in_filter, materialize, mix, prepare, words_of
+from .common import FILTER_BITS, LOWER, Words, column_slices, fixed_filter, in_filter, materialize, mix, prepare, split_by_ids, words_of
 from .components import connected_components
 
 _CHUNK = 1 << 16
@@ -211,11 +211,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, d
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their group in ``groups`` (doc_id, component_id); of rows with one doc_id, one stays."""
-    names = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    names = materialize(names)
-    kept = docs.join(names, docs["doc_id"].eqNullSafe(names["_kept"]), "left_semi")
-    if names.where("_rows > 1").isEmpty():
-        return kept
+    """The rows of ``docs`` that name their group in ``groups`` (doc_id, component_id); of rows with one doc_id, one stays.
+
+    Only rows that may have to go are joined and shuffled.
+    """
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    touched = materialize(groups.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(own).alias("_own"), F.count(F.lit(1)).alias("_rows")).where("NOT _own OR _rows > 1").drop("_rows"))
+    others, maybe = split_by_ids(docs, touched.select(F.col("_id").alias("doc_id")))
+    left = maybe.join(touched, maybe["doc_id"].eqNullSafe(touched["_id"]), "left").where("_own IS NULL OR _own")
     first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    left = left.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place", "_own", "_id")
+    return others.unionByName(left)
