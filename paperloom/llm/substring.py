@@ -93,6 +93,7 @@ def _windows(window: int, anchor: int, repeated):
         out = []
         at = np.flatnonzero(known)
         at = at[np.lexsort((start[at], doc[at]))]
+        at = at[np.append(True, (np.diff(doc[at]) != 0) | (np.diff(start[at]) != 0))[: len(at)]]
         d, s, rd, rs = doc[at], start[at], ref_doc[at], ref_start[at]
         first = _runs((d, 0), (s, 1), (rd, 0), (rs, 1)) if len(at) else at
         size = np.diff(np.append(first, len(at))).astype(np.int32)
@@ -167,7 +168,7 @@ def factorise(start: np.ndarray, n: np.ndarray, ref_doc: np.ndarray, ref_start:
     across two factors are in the input themselves, so no repeat is lost at a boundary.
     """
     out: list[list[int]] = []
-    for s, k, d, r in sorted(zip(start.tolist(), n.tolist(), ref_doc.tolist(), ref_start.tolist(), strict=True)):
+    for s, k, d, r in sorted(set(zip(start.tolist(), n.tolist(), ref_doc.tolist(), ref_start.tolist(), strict=True))):
         if out and (s, d, r) == (out[-1][0] + out[-1][1], out[-1][2], out[-1][3] + out[-1][1]):
             out[-1][1] += k
         else:
