@@ -1,0 +1,260 @@
+"""Chat, token counts, media, LM, quality, secrets and mixing on small inputs."""
+
+import hashlib
+import json
+import math
+import random
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from paperloom.llm import chat, lm, media, mixing, quality, queries, secret_scan, tokens
+
+ODD = [None, "", " ", "\n\n", "a", "Ünï 　 code", "x" * 70000, "tab\tand\r\nbreaks", "<s> </s> ▁ <0x0A>", "same", "same"]
+
+
+def docs_of(spark, texts, ids=None):
+    return spark.createDataFrame([(i, t, "c", "d") for i, t in zip(ids or range(len(texts)), texts, strict=True)], "doc_id long, text string, row string, x string")
+
+
+def test_queries_match_sql(spark, small):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        df = queries.QUERIES[name](spark, small)
+        cols = sorted(df.columns)
+        rel = con.sql(sql)
+        names = rel.columns
+        assert sorted(names) == cols
+        assert sorted(map(str, (tuple(r[c] for c in cols) for r in df.collect()))) == sorted(map(str, (tuple(r[names.index(c)] for c in cols) for r in rel.fetchall())))
+
+
+# --- chat -------------------------------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("<>&;/turn asist\n\\gl", max_size=40), st.text("<>&us\n", max_size=8))
+def test_template_is_reversible(text, role):
+    flat = chat.Flatten().visit([{"type": "text", "text": text}])
+    assert chat.parse_piece(f"<turn {chat.escape(role)}>\n{flat.body}</turn>\n") == (role, text)
+
+
+def test_chat_parts_and_masks(spark):
+    parts = json.dumps([{"type": "text", "text": "see <b>"}, {"type": "image", "ref": "i.png", "width": 28, "height": 15}, {"type": "audio", "ref": "a.wav", "seconds": 2}, {"type": "document", "ref": "d.pdf", "pages": 3}, {"type": "odd", "v": 1}, "bare"])
+    turns = spark.createDataFrame([(1, 0, "user", "hi", None), (1, 1, "assistant", None, parts), (1, 2, "assistant", "</turn> & done", "not json"), (2, 0, None, None, None), (None, 0, "assistant", "x", None), (None, None, "user", "y", None)], "conv_id long, turn long, role string, text string, parts string")
+    pieces = chat.format_turns(turns, "parts")
+    one = pieces.where("conv_id = 1 AND turn = 1").first()
+    assert [(a.kind, a.ref, a.tokens) for a in one.attachments] == [("image", "i.png", 4), ("audio", "a.wav", 50), ("document", "d.pdf", 768)]
+    assert one.extra_tokens == 822 and "<image 0><audio 1><document 2>" in one.formatted
+    assert [chat.unescape(one.formatted[s.start : s.end]) for s in one.loss] == ["see <b>", '{"type": "odd", "v": 1}', "bare"]
+    got = {r.conv_id: r for r in chat.read_back(pieces).collect()}
+    assert got[1].n_turns == 3 and got[2].n_turns == 1 and got[None].n_turns == 2
+    learnt = 'see <b>{"type": "odd", "v": 1}bare</turn> & done'
+    assert got[1].loss_chars == len(learnt) and got[1].loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
+    whole = {r.conv_id: r.formatted for r in chat.join_turns(pieces).collect()}
+    assert all(got[k].formatted_chars == len(v) for k, v in whole.items())
+    assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
+# --- tokens -----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return tokens.PieceCounter(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aAe \n\t▁é日<s>/.1", max_size=30))
+def test_shortcut_counts_as_the_library(pieces, text):
+    counter, model = pieces
+    assert counter.proven and counter.counts([text]) == [len(model.encode(text))]
+
+
+def test_token_table(spark, pieces):
+    got = {r.doc_id: r for r in tokens.count_tokens(docs_of(spark, ODD), "piece_bpe_32k.model", limit=4096).collect()}
+    assert [got[i].n_tokens for i in range(len(ODD))] == [len(pieces[1].encode(t or "")) for t in ODD]
+    assert got[6].n_bytes == 70000 and got[6].over_limit and not got[0].over_limit
+    assert len(pieces[0].whole) > 10000
+    small = tokens.count_tokens(docs_of(spark, ["some words here"]), "byte_bpe_50k.json").first()
+    assert small.n_tokens == 3
+
+
+# --- media ------------------------------------------------------------------------------------
+
+
+def test_media_round_trip(spark):
+    rng = random.Random(1)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(900))
+    texts = [*ODD, passage, f"{passage} tail", f"head of another kind {passage}", passage]
+    got = {r.doc_id: r for r in media.store_and_read(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        wav = media.encode_wav(payload)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(wav), hashlib.sha256(wav).hexdigest(), media.features(payload))
+    assert media.store_and_read(docs_of(spark, [])).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.binary(max_size=3000))
+def test_wav_and_cuts(raw):
+    assert media.decode_wav(media.encode_wav(raw)) == raw
+    with pytest.raises(ValueError):
+        media.decode_wav(media.encode_wav(raw)[:-1])
+    data = np.frombuffer(raw, np.uint8)
+    h, slow = 0, []
+    for b in raw:
+        h = (h * 2 + int(media._GEAR[b])) % (1 << 16)
+        slow.append(h)
+    assert media.rolling(data).tolist() == slow
+    ends = media.cuts(len(raw), np.arange(100, len(raw), 37))
+    assert ends == sorted(set(ends)) and (not raw or ends[-1] == len(raw))
+
+
+def test_cuts_depend_on_content(spark):
+    rng = np.random.default_rng(0)
+    body = rng.integers(0, 256, 60000).astype(np.uint8).tobytes()
+
+    def chunks(raw):
+        (_, payload, ends), = media._chunked(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return {payload[a:b] for a, b in zip([0, *ends], ends)}
+
+    a, b = chunks(body), chunks(b"some words before" + body)
+    assert len(a & b) > 0.8 * len(a)
+
+
+# --- language model ---------------------------------------------------------------------------
+
+
+def test_lm_scores(spark):
+    rng = random.Random(6)
+    sides = [[f"{c}{i}" for i in range(40)] for c in "ab"]
+    texts = [" ".join(rng.choice(sides[k % 2]) for _ in range(60)) for k in range(150)] + [None, "", "never seen words", "A1 a1"]
+    ids = list(range(len(texts)))
+    got = {r.doc_id: r for r in lm.score(docs_of(spark, texts)).collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in ids}
+    split = lambda t: [*(t or "").encode().lower().split(), None]
+    c = Counter(w for i in ids if not out[i] for w in split(texts[i]))
+    n, v = sum(c.values()), len(c)
+    for i in ids:
+        w = split(texts[i])
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        assert r.score < 0
+    held = [i for i in ids if out[i] and texts[i]]
+    assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
+    assert lm.score(docs_of(spark, [])).count() == 0
+
+
+def test_lm_is_normalised():
+    v = lm.Vocabulary({b"a": 0, b"b": 1}, np.array([5, 3]), np.array([0, 1]), 2, np.zeros(lm.ENDINGS, np.int64), np.zeros(lm.ENDINGS, np.int64), 12, 3, 4)
+    m = lm.Model.start(v.code_frequencies())
+    m.train(iter([np.array([0, 1, 0, 1, v.end] * 50)]), v.code_frequencies(), 0.1, v.end, 0)
+    one, two, bias, norm = m.tables()
+    assert np.allclose(np.exp(one[:, None, :] + two[None, :, :] + bias - norm[:, :, None]).sum(2), 1, atol=1e-4)
+    assert one[0, 1] > one[0, 0]
+
+
+# --- quality ----------------------------------------------------------------------------------
+
+
+def test_quality_learns_from_positives(spark, small):
+    d, labels = spark.read.parquet(f"{small.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{small.replace('0.001', '0.01')}/labels.parquet")
+    scored = quality.score_quality(d, labels)
+    got = scored.join(labels, "doc_id").where("held_out").select("predicted", "quality", "score").collect()
+    assert sum(r.predicted == r.quality for r in got) / len(got) > 0.95
+    assert all(0 <= r.score <= 1 for r in scored.collect())
+    kept = quality.keep_good(d, labels)
+    assert kept.columns == d.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in scored.where("predicted = 1").collect()}
+
+
+def test_quality_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.score_quality(docs_of(spark, ODD), none).collect()
+    assert len(got) == len(ODD) and all(r.score == 0.5 for r in got)
+    assert quality.score_quality(docs_of(spark, []), none).count() == 0
+    few = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    assert quality.score_quality(docs_of(spark, ODD, [None, *range(10)]), few).count() == len(ODD)
+
+
+def test_non_negative_risk_separates():
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(1, 1, (600, 4)), rng.normal(-2, 1, (300, 4))
+    model = quality.fit(good[:300], np.vstack([good[300:], bad]), 0.5, steps=300)
+    assert (model.score(good) > 0.5).mean() > 0.9 and (model.score(bad) < 0.5).mean() > 0.9
+
+
+# --- secrets ----------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.default_forest(spark)
+
+
+def test_forest_is_its_trees(spark, forest):
+    rows = secret_scan.labelled_findings(spark, 400).select("label", *(c.cast("double").alias(n) for c, n in zip(secret_scan.features(F.col("left"), F.col("found"), F.col("right")), secret_scan.FEATURES)))
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    x = VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="x").transform(rows)
+    both = forest.model.transform(x).withColumn("a", F.array(*secret_scan.FEATURES)).select("label", vector_to_array("probability")[1].alias("p"), F.element_at(F.transform(F.array("a"), lambda a: forest.score([a[i] for i in range(len(secret_scan.FEATURES))])), 1).alias("q")).collect()
+    assert all(abs(r.p - r.q) < 1e-9 for r in both)
+    assert sum((r.q >= 0.5) == (r.label == 1) for r in both) / len(both) > 0.98
+
+
+def test_scan_and_redact(spark, forest):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'é says token = "{key}" and api_key="{key[::-1]}".', "card 4734663219866878 of 16 digits", f"commit {key} fixed it", None, "", "plain words only", f'token = "{key}"', key + "é"]
+    df = docs_of(spark, texts).withColumn("n_chars", F.length("text"))
+    found = secret_scan.scan(df, forest).collect()
+    for r in found:
+        t = texts[r.doc_id]
+        assert hashlib.sha256(t[r.start : r.start + r.length].encode()).hexdigest() == r.finding_sha256
+    secrets = {(r.doc_id, r.start) for r in found if r.is_secret}
+    assert secrets == {(0, texts[0].index(key)), (0, texts[0].index(key[::-1])), (6, 9)} and {r.doc_id for r in found} == {0, 1, 2, 6, 7}
+    out = {r.doc_id: r for r in secret_scan.redact(df, forest).collect()}
+    assert out[0].text == 'é says token = "[SECRET]" and api_key="[SECRET]".' and out[0].n_chars == len(out[0].text)
+    assert [out[i].text for i in (1, 2, 3, 4, 5)] == texts[1:6] and secret_scan.redact(df, forest).columns == df.columns
+    assert secret_scan.scan(df.limit(0), forest).count() == 0
+
+
+# --- mixing -----------------------------------------------------------------------------------
+
+
+def test_raking_meets_targets(spark):
+    rng = random.Random(9)
+    cells = spark.createDataFrame([(s, g, t, rng.randrange(1, 1000)) for s in "abc" for g in ("x", "y") for t in ("u", "v")], "source string, lang string, topic string, tokens long")
+    want = {"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {"x": 0.6, "y": 0.4}, "topic": {"u": 0.5, "v": 0.5}}
+    got = mixing.rake(cells, want).collect()
+    for d, t in want.items():
+        for k, share in t.items():
+            assert abs(sum(r.w for r in got if r[d] == k) - share) < 1e-6
+    p = mixing.calibrate(mixing.rake(cells, want), 0.3).collect()
+    tokens_ = {(r.source, r.lang, r.topic): r.tokens for r in got}
+    assert abs(sum(r.p * tokens_[r.source, r.lang, r.topic] for r in p) / sum(tokens_.values()) - 0.3) < 1e-6 and all(0 <= r.p <= 1 for r in p)
+
+
+def test_mixing_odd_tables(spark):
+    schema = "doc_id long, text string, source string, lang string, p double, tokens long, w double, s string"
+    rows = [(1, "a b c", "s", "en", 0.0, 1, 0.0, "z"), (1, "a b c", "s", "en", 0.0, 1, 0.0, "z"), (None, None, None, None, None, None, None, None), (2, "", "t", None, 0.0, 1, 0.0, "z"), (3, "x " * 3000, "t", "de", 0.0, 1, 0.0, "z")]
+    df = spark.createDataFrame(rows, schema)
+    got = mixing.mix(df, budget=1.0).collect()
+    assert len(got) == 5 and {r.doc_id: r.sampled for r in got} == {1: True, None: False, 2: False, 3: True}
+    kept = mixing.sample(df, budget=1.0)
+    assert kept.columns == [*df.columns, "mix_probability"] and sorted(r.doc_id for r in kept.collect()) == [1, 1, 3]
+    assert mixing.mix(df.limit(0)).count() == 0
