@@ -122,18 +122,6 @@ def pattern_features(tables: Tables, s: Sequence[Token], cite: int, prefix: str
     return out
 
 
-def custom_counts(tables: Tables, patterns: dict[str, Phrase], where: dict[str, list[Sequence[Token]]]) -> dict[str, int]:
-    """M8: sentences of each place (in_cite, pre_cite, post_cite) with a pattern, by ``class_place_n``."""
-    out = {}
-    for name, p in patterns.items():
-        cls, _, n = name.rpartition("_")
-        for place, sentences in where.items():
-            hits = sum(find(tables, p, s) >= 0 for s in sentences)
-            if hits:
-                out[f"{cls}_{place}_{n}"] = hits
-    return out
-
-
 def contrasts(tables: Tables, s: Sequence[Token]) -> bool:
     """M9: opens with ``in contrast``, or contrasts and speaks of the own work."""
     if len(s) < 2:

@@ -93,10 +93,10 @@ def contained_strings(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     keys = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 3, 6), " ").alias("k"))
     # whole words inside a key stand between blanks; its first and last may be parts of words, so the four inner ones are the equality
-    inner = lambda w, i: F.array_join(F.slice(w, i, 4), " ")
     d = d.withColumn("w", F.split("text", " "))
-    runs = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: inner("w", i)))).alias("r"))
-    hit = runs.join(keys.withColumn("r", inner(F.split("k", " "), 2)), "r").select("doc_id", "item_id", "k").distinct()
+    shifted = F.arrays_zip(*(F.slice("w", i, F.greatest(F.size("w") - i + 1, F.lit(0))).alias(f"w{i}") for i in range(1, 5)))
+    runs = d.select("doc_id", F.explode(F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *(z[f"w{i}"] for i in range(1, 5)))))).alias("r"))
+    hit = runs.join(keys.withColumn("r", F.array_join(F.slice(F.split("k", " "), 2, 4), " ")), "r").select("doc_id", "item_id", "k").distinct()
     return hit.join(d.select("doc_id", "text"), "doc_id").where(F.contains("text", "k")).groupBy("doc_id").agg(F.min("item_id").alias("item"))
 
 
