@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from .common import column_slices, materialize, prepare
 HEAD = 1 << 17
 #: Words with a vector of their own, and classes by word ending for all others.
 OWN, ENDINGS = 1000, 128
-#: Length of vectors, noise words a batch, positions a batch, rounds of training.
-DIM, NOISE, BATCH, ROUNDS = 16, 32, 8192, 2
+#: Length of vectors, noise words a batch, positions in the largest and the first batches, rounds of training.
+DIM, NOISE, BATCH, LEAST_BATCH, ROUNDS = 16, 32, 8192, 128, 2
 _FLUSH = 1 << 19
 _LN10 = float(np.log(10))
 
@@ -29,8 +30,19 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
+class _Endings(dict):
+    """Class of a word by its last three bytes, remembered."""
+
+    def __missing__(self, tail: bytes) -> int:
+        self[tail] = out = zlib.crc32(tail) % ENDINGS
+        return out
+
+
+_endings = _Endings()
+
+
 def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % ENDINGS
+    return _endings[word[-3:]]
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -83,12 +95,21 @@ class Vocabulary:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``counts`` or -1, code) of each word."""
-        at = np.fromiter(map(self.index.get, words, [-1] * len(words)), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         codes = self.codes[at] if len(self.codes) else np.zeros(len(words), np.int64)
-        for i in np.flatnonzero(at < 0).tolist():
-            codes[i] = self.own + ending(words[i])
+        new = np.flatnonzero(at < 0)
+        codes[new] = self.own + np.fromiter((_endings[words[i][-3:]] for i in new.tolist()), np.int64, len(new))
         return at, codes
 
+    def stream(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of documents one after the other, an end behind each: (codes, code before, second before, first place of each document)."""
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        out = np.full(len(codes) + len(sizes), self.end, np.int64)
+        out[np.arange(len(codes)) + doc] = codes
+        one = np.append(self.end, out[:-1])
+        two = np.where(one == self.end, self.end, np.append([self.end, self.end], out[:-2])[: len(out)])
+        return out, one, two, np.cumsum(sizes + 1) - sizes - 1
+
     def code_frequencies(self) -> np.ndarray:
         out = np.ones(self.size)
         out[: self.own] += self.counts[: self.own]
@@ -139,25 +160,27 @@ class Model:
         a, b, c = (rng.normal(0, 0.1, (dim, len(freq))) for _ in range(3))
         return cls(a, b, c, np.log(freq))
 
-    def train(self, streams: Iterator[np.ndarray], freq: np.ndarray, rate: float, end: int, seed: int) -> int:
+    def train(self, streams: Iterator[tuple[np.ndarray, ...]], freq: np.ndarray, rate: float, seed: int) -> int:
         """Noise-contrastive steps (Adagrad) over code streams, in place; returns the positions seen."""
         rng = np.random.default_rng(seed)
         size, cum = len(freq), np.cumsum(freq)
         parts = (self.before, self.second, self.out, self.bias)
-        squares = [np.full(p.shape, 0.1) for p in parts]
+        squares = [np.full(p.shape, 1e-3) for p in parts]
         log_noise = np.log(NOISE * freq)
         spread = lambda codes, grad: np.stack([np.bincount(codes, g, size) for g in grad])
         seen = 0
-        for codes in streams:
-            one, two = np.concatenate(([end], codes[:-1])), np.concatenate(([end, end], codes[:-2]))[: len(codes)]
-            two = np.where(one == end, end, two)
-            for i in range(0, len(codes), BATCH):
-                w, c1, c2 = codes[i : i + BATCH], one[i : i + BATCH], two[i : i + BATCH]
+        for codes, one, two, _ in streams:
+            i = 0
+            while i < len(codes):
+                size_now = min(BATCH, max(LEAST_BATCH, seen // 16))  # little text gives many small steps
+                w, c1, c2 = codes[i : i + size_now], one[i : i + size_now], two[i : i + size_now]
+                i += size_now
                 noise = np.minimum(np.searchsorted(cum, rng.random(NOISE)), size - 1)
-                q = self.before[:, c1] + self.second[:, c2]
-                uw, un = self.out[:, w], self.out[:, noise]
+                q = np.take(self.before, c1, axis=1) + np.take(self.second, c2, axis=1)
+                uw, un = np.take(self.out, w, axis=1), self.out[:, noise]
                 gain = 1 / (1 + np.exp(np.clip((q * uw).sum(0) + self.bias[w] - log_noise[w], -30, 30)))
-                loss = -1 / (1 + np.exp(np.clip(-(q.T @ un + (self.bias[noise] - log_noise[noise])), -30, 30)))
+                odds = (q.T @ un + (self.bias[noise] - log_noise[noise])).astype(np.float32)
+                loss = (-1 / (1 + np.exp(-np.clip(odds, -30, 30)))).astype(np.float64)
                 dq = gain * uw + un @ loss.T
                 d_out = spread(w, gain * q)
                 np.add.at(d_out, (slice(None), noise), q @ loss)
@@ -179,13 +202,11 @@ class Model:
         return one, two, bias, norm
 
 
-def _streams(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[np.ndarray]:
+def _streams(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[np.ndarray, ...]]:
     for b in batches:
         for lo, hi, _, _ in column_slices(b.column(0)):
-            parts = []
-            for t in b.column(0).slice(lo, hi - lo).to_pylist():
-                parts += [v.encode(_split(t))[1], np.array([v.end])]
-            yield np.concatenate(parts)
+            docs = [_split(t) for t in b.column(0).slice(lo, hi - lo).to_pylist()]
+            yield v.stream(v.encode(list(chain.from_iterable(docs)))[1], np.fromiter(map(len, docs), np.int64, len(docs)))
 
 
 def _fit(train: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
@@ -201,7 +222,7 @@ def _fit(train: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
         def run(batches: Iterator[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:
             m, words = now.value, shared.value
             own = Model(*(x.copy() for x in (m.before, m.second, m.out, m.bias)))
-            n = own.train(_streams(batches, words), words.code_frequencies(), 0.1 / (k + 1), words.end, k)
+            n = own.train(_streams(batches, words), words.code_frequencies(), 0.1 / (k + 1), k)
             if n:
                 rows = np.vstack([own.before, own.second, own.out, own.bias[None]]) * n
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows.shape[1]), pa.int32()), pa.array(np.full(rows.shape[1], float(n))), *map(pa.array, rows)], ["code", "n", *names])
@@ -214,9 +235,6 @@ def _fit(train: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
     return model
 
 
-_TAIL = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int32())]))
-
-
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
@@ -248,27 +266,29 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         end_log, all_log = np.log10(v.ends + 1.0), np.log10(v.tokens + v.distinct + 1.0)
         for b in batches:
             for lo, hi, _, _ in column_slices(b.column(1)):
-                cols: list[list] = [[], [], [], [], []]
-                for t in b.column(1).slice(lo, hi - lo).to_pylist():
-                    words = _split(t)
-                    at, codes = v.encode(words)
-                    w = np.append(codes, v.end)
-                    c1 = np.concatenate(([v.end], codes))
-                    c2 = np.concatenate(([v.end, v.end], codes[:-1]))[: len(w)]
-                    c2 = np.where(c1 == v.end, v.end, c2)
-                    model_log = float((one[c1, w] + two[c2, w] + bias[w] - norm[c1, c2]).sum(dtype=np.float64)) / _LN10
-                    tail = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-                    known = logs[at]  # the last entry, 0, stands for words outside the head
-                    row = (
-                        len(w),
-                        len(words) - sum(tail.values()) + (v.ends > 0),
-                        float(known.sum() + end_log - len(w) * all_log),
-                        model_log + float(known[codes >= v.own].sum() - den[codes].sum()),
-                        [{"word": x.decode(), "tf": n} for x, n in tail.items()],
-                    )
-                    for c, x in zip(cols, row, strict=True):
-                        c.append(x)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), _TAIL), strict=True))], ["doc_id", "n_tokens", "n_known", "base", "model", "tail"])
+                docs_ = [_split(t) for t in b.column(1).slice(lo, hi - lo).to_pylist()]
+                sizes = np.fromiter(map(len, docs_), np.int64, len(docs_))
+                words = list(chain.from_iterable(docs_))
+                at, codes = v.encode(words)
+                w, c1, c2, first = v.stream(codes, sizes)
+                model = np.add.reduceat((one[c1, w] + two[c2, w] + bias[w] - norm[c1, c2]).astype(np.float64), first) / _LN10
+                known = logs[at]  # the last entry, 0, stands for words outside the head
+                place = np.append(0, np.cumsum(sizes))
+                total = lambda x, place=place: np.diff(np.append(0.0, np.cumsum(x))[place])
+                new = np.flatnonzero(at < 0)
+                tails: list[Counter[bytes]] = [Counter() for _ in docs_]
+                for d, i in zip((np.searchsorted(place, new, side="right") - 1).tolist(), new.tolist(), strict=True):
+                    tails[d][words[i]] += 1
+                tail = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(tails)), pa.binary()).cast(pa.string()), pa.array(list(chain.from_iterable(t.values() for t in tails)), pa.int32())], ["word", "tf"])
+                offsets = pa.array(np.append(0, np.cumsum([len(t) for t in tails])).astype(np.int32))
+                cols = [
+                    pa.array(sizes + 1),
+                    pa.array(total(at >= 0).astype(np.int64) + (v.ends > 0)),
+                    pa.array(total(known) + end_log - (sizes + 1) * all_log),
+                    pa.array(model + total(np.where(codes >= v.own, known - den[codes], 0.0))),
+                    pa.ListArray.from_arrays(offsets, tail),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *cols], ["doc_id", "n_tokens", "n_known", "base", "model", "tail"])
 
     rows = docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, model double, tail array<struct<word: string, tf: int>>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))

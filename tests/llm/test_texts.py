@@ -163,7 +163,7 @@ def test_lm_scores(spark):
 def test_lm_is_normalised():
     v = lm.Vocabulary({b"a": 0, b"b": 1}, np.array([5, 3]), np.array([0, 1]), 2, np.zeros(lm.ENDINGS, np.int64), np.zeros(lm.ENDINGS, np.int64), 12, 3, 4)
     m = lm.Model.start(v.code_frequencies())
-    m.train(iter([np.array([0, 1, 0, 1, v.end] * 50)]), v.code_frequencies(), 0.1, v.end, 0)
+    m.train(iter([v.stream(np.array([0, 1, 0, 1] * 50), np.full(50, 4))]), v.code_frequencies(), 0.1, 0)
     one, two, bias, norm = m.tables()
     assert np.allclose(np.exp(one[:, None, :] + two[None, :, :] + bias - norm[:, :, None]).sum(2), 1, atol=1e-4)
     assert one[0, 1] > one[0, 0]
