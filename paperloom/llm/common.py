@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 
 #: Bytes of text that a Python worker looks at together; its arrays take about forty times as much.
 SLICE_BYTES = 1 << 20
@@ -21,22 +19,7 @@ SLICE_BYTES = 1 << 20
 FILTER_BITS = 1 << 27
 _BUCKET = 32768
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and read it back: cut lineage that survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/paperloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["FILTER_BITS", "SLICE_BYTES", "column_slices", "fixed_filter", "in_filter", "materialize", "mix", "prepare", "split_by_ids", "words_of"]
 
 
 def prepare(spark: SparkSession) -> None:

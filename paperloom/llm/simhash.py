@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import FILTER_BITS, LOWER, Words, column_slices, fixed_filter, in_filter, materialize, mix, prepare, split_by_ids, words_of
-from .components import connected_components
 
 _CHUNK = 1 << 16
 
