@@ -173,38 +173,106 @@ def _candidate_sets(docs: DataFrame, shingle: int, wanted) -> DataFrame:
     return rows.groupBy("sid").agg(F.first("shingles").alias("shingles"))
 
 
+#: Shingles of the sets that a worker compares with each other; a bucket with more is split into blocks.
+BLOCK_SHINGLES = 1 << 20
+
+
+def _merges(similarity: float):
+    """For the sets of a cell (i, j, side, sid, root, shingles): pairs with the similarity that bring different roots together, one for each merge.
+
+    Every pair is decided: compared, or in one component already. A cell with i < j compares
+    across its two sides only. Sets whose shingles are common in the cell go first, so the
+    centre of a star leaves nothing to compare.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        lists = cell["shingles"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        flat, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        side, sid = cell["side"].to_numpy().astype(bool), np.array(cell["sid"].to_pylist(), object)
+        comp = np.unique(np.array(cell["root"].to_pylist()), return_inverse=True)[1]
+        across = cell["i"][0].as_py() < cell["j"][0].as_py()
+        values, ids, often = np.unique(flat, return_inverse=True, return_counts=True)
+        at = np.cumsum(size) - size
+        order = np.argsort(-np.add.reduceat(often[ids], at) / size, kind="stable")
+        ids = np.concatenate([ids[at[k] : at[k] + size[k]] for k in order])
+        size, side, sid, comp = size[order], side[order], sid[order], comp[order]
+        at = np.cumsum(size) - size
+        mark, found = np.zeros(len(values), bool), []
+        for p in range(len(size) - 1):
+            if comp.min() == comp.max():
+                break
+            rest = slice(p + 1, None)
+            far = (comp[rest] != comp[p]) & (np.minimum(size[rest], size[p]) >= similarity * np.maximum(size[rest], size[p]))
+            if across:
+                far &= side[rest] != side[p]
+            if not far.any():
+                continue
+            own = ids[at[p] : at[p] + size[p]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[ids[at[p + 1] :]], at[rest] - at[p + 1], dtype=np.int64)
+            mark[own] = False
+            hit = np.flatnonzero(far & (shared >= similarity * (size[rest] + size[p] - shared))) + p + 1
+            merged, one = np.unique(comp[hit], return_index=True)
+            found += [(sid[p], sid[h]) for h in hit[one]]
+            comp[np.isin(comp, merged)] = comp[p]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.string()), "b": pa.array([y for _, y in found], pa.string())})
+
+    return run
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
     """doc_id, component_id for each row of ``docs``: groups linked by a Jaccard similarity of distinct word shingles.
 
     A 64-bit SimHash cannot see such a similarity alone: sets at 0.8 lie 4 to 14 bits
     apart, and no Hamming ball of that radius can be enumerated. So pairs within
     ``distance`` bits are joined by candidates from bands of minimum hashes, and each
-    candidate pair is verified on the whole sets. In a bucket each set is compared with
-    the first one and with the one before it, never with all. Equal sets are one node.
-    Null and empty texts are equal. ``component_id`` is the smallest doc_id of the group.
+    candidate pair is verified on the whole sets. First each set of a bucket is compared
+    with the first one and with the one before it, which links dense groups by few pairs.
+    Buckets that still have sets of different components are then compared whole, in
+    blocks of a bounded size, so that no pair of a bucket is left undecided. Equal sets are
+    one node. Null and empty texts are equal. ``component_id`` is the smallest doc_id of the group.
     """
     prepare(docs.sparkSession)
     sigs = materialize(_signatures(docs, shingle))
     nodes = materialize(sigs.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    by_fp = nodes.groupBy("fp").agg(F.min("sid").alias("lead"))
-    bits = links(by_fp, distance)
-    lead = lambda c: by_fp.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_sid"))
-    near = bits.join(lead("a"), "a").join(lead("b"), "b").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    by_fp = materialize(nodes.groupBy("fp").agg(F.min("sid").alias("lead"), F.count_if(F.col("size") > 0).alias("n")))
+    bits = materialize(links(by_fp, distance))
+    lead = lambda c: by_fp.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_sid"), F.col("n").alias(f"{c}_n"))
+    led = bits.join(lead("a"), "a").join(lead("b"), "b")
+    near = led.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
     same = nodes.join(by_fp, "fp").where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
-    bucket = Window.partitionBy("band", "key").orderBy("sid")
-    placed = nodes.where("size > 0").select("sid", F.posexplode("bands").alias("band", "key")).withColumns({"first": F.first("sid").over(bucket.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag("sid").over(bucket)})
+    whole = Window.partitionBy("band", "key")
+    bucket = whole.orderBy("sid")
+    placed = nodes.where("size > 0").select("sid", "size", F.posexplode("bands").alias("band", "key")).withColumns({"n": F.count(F.lit(1)).over(whole), "first": F.first("sid").over(bucket.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag("sid").over(bucket)})
+    placed = materialize(placed.where("n > 1"))
     banded = placed.where("prev IS NOT NULL").select(F.explode(F.array("first", "prev")).alias("a"), F.col("sid").alias("b"))
     pairs = near.unionByName(same).unionByName(banded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     sizes = nodes.select("sid", "size")
     pairs = pairs.join(sizes.select(F.col("sid").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("size").alias("nb")), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     pairs = materialize(pairs.select("a", "b"))
-    names = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    # Buckets that these pairs do not cover: more than three sets of a band, more than two of one fingerprint or of two near ones.
+    filled = nodes.where("size > 0").select("fp", "sid", "size")
+    crowded = by_fp.where("n > 2").select(F.lit(-1).alias("band"), F.col("fp").alias("key"), "fp")
+    linked = led.where("a_n + b_n > 2").select(F.lit(-2).alias("band"), F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("fp"))
+    large = placed.where("n > 3").select("band", "key", "sid", "size").unionByName(crowded.unionByName(linked).join(filled, "fp").select("band", "key", "sid", "size"))
+    large = materialize(large)
+    names = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).unionByName(large.select(F.col("sid").alias("s"))).distinct()
     high = F.conv(F.left("s", F.lit(16)), 16, -10).cast("long")
     wanted = docs.sparkSession.sparkContext.broadcast(fixed_filter(names.select(high.alias("key")), FILTER_BITS >> 3))
     sets = materialize(_candidate_sets(docs, shingle, wanted))
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    edges = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    edges = materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    large = materialize(large.join(connected_components(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    h = F.xxhash64("sid")
+    opened = large.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("y")).where("lo <> hi")
+    opened = opened.groupBy("n", "x", "y").agg(F.first(F.struct("band", "key", F.ceil(F.col("mass") / BLOCK_SHINGLES).cast("int").alias("blocks"))).alias("o")).select("o.*")  # buckets of the same sets count once
+    block = large.join(opened, ["band", "key"]).withColumn("own", F.pmod(h, F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = block.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "root")
+    more = cells.join(sets, "sid").groupBy("band", "key", "i", "j").applyInArrow(_merges(similarity), "a string, b string")
+    edges = edges.unionByName(more)
     named = nodes.select("sid", "least").join(connected_components(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     of = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
     return sigs.select("doc_id", "sid").join(of, "sid").select("doc_id", "component_id")

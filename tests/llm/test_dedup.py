@@ -102,6 +102,46 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(docs_of(spark, [])).count() == 0
 
 
+def slow_similar(texts, shingle=5, similarity=0.8):
+    def grams(t):
+        w = t.split()
+        return {hash(tuple(w[i : i + shingle])) for i in range(len(w) - shingle + 1)}
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if (both := len(sets[i] & sets[j])) >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 1 << 15])
+def test_star_of_variants_is_one_group(spark, monkeypatch, block):
+    """Each variant is near its original and to no other variant."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rng = random.Random(11)
+    original = words(rng, 1000, 10**6).split()
+    texts = []
+    for v in range(300):
+        w = list(original)
+        for i in rng.sample(range(1000), 17):
+            w[i] = f"v{v}i{i}"
+        texts.append(" ".join(w))
+    texts.insert(150, " ".join(original))
+    texts += [words(rng, 1000, 10**6) for _ in range(5)]
+    want = slow_similar(texts)
+    assert want.count(0) == 301 and slow_similar(texts[:150]) == list(range(150))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def slow_hits(texts, items):
     import hashlib
     import re
