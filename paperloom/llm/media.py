@@ -112,57 +112,87 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.minimum(n, 2).astype(np.int8))], ["key", "n"])
 
 
-def store_and_read(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, and facts about the media read back from its store.
-
-    A text's UTF-8 bytes, with zeros up to a positive multiple of 64, are the samples of
-    an 8-bit WAVE file. A rolling gear hash cuts payloads into chunks at places that
-    only the bytes around them decide, so passages that texts share give equal chunks.
-    Chunks that only one text has stay with it. Chunks that may occur again (a filter of
-    fixed size tells, and never misses one) go to the chunk store, once for each SHA-256
-    digest; their media are put together again from ordered chunk lists joined to that
-    store, and each chunk is verified against its digest.
+def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two written tables that hold all media: of documents, and of chunks that they share.
 
-    Null counts as the empty text, whose payload is 64 zeros. Equal texts give equal
-    rows but for doc_id. Other columns are ignored.
+    The first has one row per row of ``docs``: row, doc_id, n_bytes, media_sha256, shared,
+    and chunks, its ordered list of (digest, bytes); ``bytes`` is null where the chunk lies
+    in the second table (digest, bytes), which has each SHA-256 digest once.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = docs.select("text").mapInArrow(_count, "key long, n byte")
-    shared = spark.sparkContext.broadcast(fixed_filter(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), FILTER_BITS >> 3))
+    maybe = spark.sparkContext.broadcast(fixed_filter(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), FILTER_BITS >> 3))
+
+    def pieces(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[int, bytes, list[tuple[bytes, bytes, bool]]]]]]:
+        for lo, hi, data, offs in column_slices(column):
+            found = []
+            for n, payload, ends in _chunked(data, offs):
+                parts = [payload[a:e] for a, e in zip([0, *ends], ends, strict=False)]
+                digests = [hashlib.sha256(p).digest() for p in parts]
+                away = in_filter(maybe.value, np.array([_key(d) for d in digests], np.int64)).tolist()
+                found.append((n, payload, list(zip(digests, parts, away, strict=True))))
+            yield lo, hi, found
+
+    def write_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, found in pieces(b.column(0)):
+                once = {d: p for _, _, parts in found for d, p, away in parts if away}
+                yield pa.RecordBatch.from_arrays([pa.array(list(once), pa.binary()), pa.array(list(once.values()), pa.binary())], ["digest", "bytes"])
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offs in column_slices(b.column(1)):
-                sizes, facts, lists = [], [], []
-                for n, payload, ends in _chunked(data, offs):
-                    parts = [payload[a:e] for a, e in zip([0, *ends], ends, strict=False)]
-                    digests = [hashlib.sha256(p).digest() for p in parts]
-                    sizes.append(n)
-                    if in_filter(shared.value, np.array([_key(d) for d in digests], np.int64)).any():
-                        facts.append({})
-                        lists.append([{"digest": d, "bytes": p} for d, p in zip(digests, parts, strict=True)])
-                    else:
-                        facts.append(_read_back(encode_wav(b"".join(parts))))
-                        lists.append(None)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), *(pa.array([f.get(c) for f in facts], t) for c, t in _FACTS), pa.array(lists, _CHUNKS)], ["doc_id", "n_bytes", *(c for c, _ in _FACTS), "chunks"])
-
-    rows = materialize(docs.mapInArrow(write, f"doc_id long, n_bytes long, {_FACTS_DDL}, chunks array<struct<digest: binary, bytes: binary>>").withColumn("row", F.monotonically_increasing_id()))
-    alone = rows.where("chunks IS NULL").select("doc_id", "n_bytes", *(c for c, _ in _FACTS))
-    lists = rows.where("chunks IS NOT NULL").select("row", "doc_id", "n_bytes", F.posexplode("chunks").alias("ord", "c"))
-    store = lists.groupBy(F.col("c.digest").alias("digest")).agg(F.first("c.bytes").alias("bytes"))
-    entries = rows.where("chunks IS NOT NULL").select("row", "doc_id", "n_bytes", F.posexplode("chunks.digest").alias("ord", "digest"))
-    whole = entries.join(store, "digest").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("ord", "digest", "bytes"))).alias("parts"))
+            for lo, hi, found in pieces(b.column(1)):
+                sha = [hashlib.sha256(encode_wav(payload)).hexdigest() for _, payload, _ in found]
+                lists = [[{"digest": d, "bytes": None if away else p} for d, p, away in parts] for _, _, parts in found]
+                shared = [any(away for _, _, away in parts) for _, _, parts in found]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([n for n, _, _ in found], pa.int64()), pa.array(sha), pa.array(shared), pa.array(lists, _CHUNKS)], ["doc_id", "n_bytes", "media_sha256", "shared", "chunks"])
+
+    chunks = materialize(docs.select("text").mapInArrow(write_chunks, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes")))
+    media = docs.mapInArrow(write_media, "doc_id long, n_bytes long, media_sha256 string, shared boolean, chunks array<struct<digest: binary, bytes: binary>>")
+    return materialize(media.withColumn("row", F.monotonically_increasing_id())), chunks
+
+
+def read_store(media: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, and facts about each medium, put together from its stored chunks; each chunk and the whole are verified."""
+    prepare(media.sparkSession)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                parts = b.column(2)[i].as_py()
+                parts = b.column(3)[i].as_py()
                 for p in parts:
-                    if hashlib.sha256(p["bytes"]).digest() != p["digest"]:
+                    if p["bytes"] is None or hashlib.sha256(p["bytes"]).digest() != p["digest"]:
                         raise ValueError(f"a chunk of document {b.column(0)[i]} differs from its digest")
                 f = _read_back(encode_wav(b"".join(p["bytes"] for p in parts)))
+                if f["media_sha256"] != b.column(2)[i].as_py():
+                    raise ValueError(f"the medium of document {b.column(0)[i]} differs from its digest")
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *(pa.array([f[c]], t) for c, t in _FACTS)], ["doc_id", "n_bytes", *(c for c, _ in _FACTS)])
 
-    return alone.unionByName(whole.select("doc_id", "n_bytes", "parts").mapInArrow(rebuild, f"doc_id long, n_bytes long, {_FACTS_DDL}"))
+    own = ["doc_id", "n_bytes", "media_sha256"]
+    alone = media.where("NOT shared").select(*own, F.col("chunks").alias("parts"))
+    entries = media.where("shared").select("row", *own, F.posexplode("chunks").alias("ord", "c")).select("row", *own, "ord", "c.digest", "c.bytes")
+    fetched = entries.where("bytes IS NULL").drop("bytes").join(chunks, "digest", "left")
+    every = entries.where("bytes IS NOT NULL").unionByName(fetched)
+    whole = every.groupBy("row").agg(*(F.first(c).alias(c) for c in own), F.sort_array(F.collect_list(F.struct("ord", "digest", "bytes"))).alias("parts"))
+    whole = whole.select(*own, F.transform("parts", lambda p: F.struct(p["digest"].alias("digest"), p["bytes"].alias("bytes"))).alias("parts"))
+    out = f"doc_id long, n_bytes long, {_FACTS_DDL}"
+    return alone.mapInArrow(rebuild, out).unionByName(whole.mapInArrow(rebuild, out))
+
+
+def store_and_read(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, and facts about the media read back from its store.
+
+    A text's UTF-8 bytes, with zeros up to a positive multiple of 64, are the samples of
+    an 8-bit WAVE file. A rolling gear hash cuts payloads into chunks at places that
+    only the bytes around them decide, so passages that texts share give equal chunks.
+    Chunks that only one text has are written in its own list. Chunks that may occur again
+    (a filter of fixed size tells, and never misses one) go to the chunk store, once for each
+    SHA-256 digest. All media are put together again from the written lists and that store,
+    and each chunk and medium is verified against its digest (``write_store``, ``read_store``).
+
+    Null counts as the empty text, whose payload is 64 zeros. Equal texts give equal
+    rows but for doc_id. Other columns are ignored.
+    """
+    return read_store(*write_store(docs))

@@ -108,6 +108,23 @@ def test_media_round_trip(spark):
     assert media.store_and_read(docs_of(spark, [])).count() == 0
 
 
+def test_media_store_holds_every_payload(spark):
+    rng = random.Random(2)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(900))
+    texts = [passage, f"{passage} tail", " ".join(f"q{rng.randrange(10**6)}" for _ in range(400)), "alone", None]
+    rows, chunks = media.write_store(docs_of(spark, texts))
+    store = {bytes(r.digest): bytes(r.bytes) for r in chunks.collect()}
+    assert len(store) == chunks.count() > 0
+    lists = {r.doc_id: r.chunks for r in rows.collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert b"".join(store[bytes(c.digest)] if c.bytes is None else bytes(c.bytes) for c in lists[i]) == raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+    assert all(c.bytes is not None for c in lists[2])
+    bad = F.transform("chunks", lambda c: F.struct(c["digest"].alias("digest"), F.lit(b"x").alias("bytes")))
+    with pytest.raises(Exception, match="differs from its digest"):
+        media.read_store(rows.where("doc_id = 3").withColumn("chunks", bad), chunks).collect()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=3000))
 def test_wav_and_cuts(raw):
