@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, ship_package
+from ..session import discard, materialize, ship_package
 
 #: Bytes of text that a Python worker looks at together; its arrays take about forty times as much.
 SLICE_BYTES = 1 << 20
@@ -19,7 +19,7 @@ SLICE_BYTES = 1 << 20
 FILTER_BITS = 1 << 27
 _BUCKET = 32768
 
-__all__ = ["FILTER_BITS", "SLICE_BYTES", "column_slices", "fixed_filter", "in_filter", "materialize", "mix", "prepare", "split_by_ids", "words_of"]
+__all__ = ["FILTER_BITS", "SLICE_BYTES", "column_slices", "discard", "filter_bits", "fixed_filter", "free_names", "in_filter", "materialize", "mix", "prepare", "split_by_keys", "text_key", "words_of"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -71,28 +71,56 @@ def fixed_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
+def filter_bits(n: int, most: int = FILTER_BITS) -> int:
+    """Bits of a filter over ``n`` keys: at least 16 a key, a power of two, from 2**15 to ``most``."""
+    return min(most, max(_BUCKET, 1 << max(0, 16 * n - 1).bit_length()))
+
+
 def in_filter(bitset: np.ndarray, keys: np.ndarray) -> np.ndarray:
     place = keys.astype(np.uint64) >> np.uint64(64 - ((len(bitset) * 8).bit_length() - 1))
     return (bitset[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """``docs`` in two parts: rows whose ``column`` is surely not in ``ids``, and the few that may be.
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for temporary columns that ``df`` has not, however it is spelt."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null counts as empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame, name: str) -> tuple[DataFrame | None, DataFrame]:
+    """``docs`` in two parts: rows whose ``key`` is surely not in the only column of ``keys``, and the few that may be, with ``name`` = key.
 
     Only the second part needs a join, so a decision about few rows does not shuffle the
-    texts of all others. Null ids are told apart like any other.
+    texts of all others. The filter that tells them apart is sized by the counted keys;
+    where there are so many that one of FILTER_BITS would be full, there is no first part
+    (None), and the join takes all rows.
     """
+    marked = docs.withColumn(name, key)
+    n = keys.count()
+    if 4 * n > FILTER_BITS:
+        return None, marked
     prepare(docs.sparkSession)
-    wanted = docs.sparkSession.sparkContext.broadcast(fixed_filter(ids.select(F.xxhash64(column).alias("key"))))
-    marked = docs.withColumn("_mark", F.xxhash64(column))
+    wanted = docs.sparkSession.sparkContext.broadcast(fixed_filter(keys.select(F.xxhash64(keys.columns[0]).alias("key")), filter_bits(n)))
+    mark = free_names(marked, "mark")[0]
+    hashed = marked.withColumn(mark, F.xxhash64(name))
 
     def part(inside: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found = in_filter(wanted.value, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
-                yield b.filter(pa.array(found == inside)).select(list(range(b.num_columns - 1)))
+                yield b.filter(pa.array(found == inside)).select(list(range(b.num_columns - 1 - (not inside))))
 
-        return marked.mapInArrow(run, docs.schema)
+        return hashed.mapInArrow(run, (marked if inside else docs).schema)
 
     return part(False), part(True)
 

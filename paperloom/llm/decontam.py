@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, FILTER_BITS, Words, column_slices, fixed_filter, in_filter, materialize, prepare, split_by_ids, words_of
+from .common import ALNUM, FILTER_BITS, Words, column_slices, discard, fixed_filter, free_names, in_filter, materialize, prepare, split_by_keys, text_key, words_of
 
 #: Words of the shingles that windows are looked up by; shorter windows are looked up whole.
 SHINGLE = 3
@@ -83,9 +83,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     string. Null item ids are ignored. Items with equal ids count once. Each row of
     ``docs`` gives one row, whatever its doc_id. Other columns are ignored.
     """
+    return _decontaminate(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, min_items)
+
+
+def _decontaminate(docs: DataFrame, benchmark: DataFrame, window: int, min_items: int) -> DataFrame:
+    """``decontaminate`` for rows (doc_id, text) with ids of any type."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     windows = materialize(item_windows(benchmark.where("item_id IS NOT NULL"), window))
     shingles = materialize(window_shingles(windows))
     sizes = [r.k for r in shingles.select("k").distinct().collect()]  # 1 to SHINGLE
@@ -124,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(sizes_).astype(np.int64)), pa.array(found, kind)], ["doc_id", "n_words", "found"])
 
-    schema = "doc_id long, n_words long, found array<struct<key: long, pos: int, ctx_at: int, ctx: string>>"
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, found array<struct<key: long, pos: int, ctx_at: int, ctx: string>>"
     rows = materialize(docs.mapInArrow(places, schema).withColumn("row", F.monotonically_increasing_id()))
     cand = rows.where(F.size("found") > 0).select("row", "n_words", F.explode("found").alias("f")).select("row", "n_words", "f.*")
     start = F.col("pos") - F.col("off")
@@ -148,11 +152,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
-    """The rows of ``docs`` whose id has fewer than ``min_items`` items with occurring windows; only rows that may go are joined."""
-    found = decontaminate(docs, benchmark, window, min_items).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    found = materialize(found)
-    others, maybe = split_by_ids(docs, found.select(F.col("_id").alias("doc_id")))
-    return others.unionByName(maybe.join(found, maybe["doc_id"].eqNullSafe(found["_id"]), "left_anti"))
+    """The rows of ``docs`` whose text has fewer than ``min_items`` items with occurring windows, with all their columns.
+
+    Rows are told apart by their texts alone, so null, repeated or otherwise typed ids
+    change nothing; only rows that may go are joined.
+    """
+    found = _decontaminate(docs.select(text_key(F.col("text")).alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, window, min_items)
+    key = free_names(docs, "text_key")[0]
+    found = materialize(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct())
+    others, maybe = split_by_keys(docs, text_key(F.col("text")), found, key)
+    kept = maybe.join(found, key, "left_anti").drop(key)
+    return kept if others is None else others.unionByName(kept)
 
 
 #: The same for DuckDB.

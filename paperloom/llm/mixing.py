@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, free_names, materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 #: A dimension's target shares are its token shares to this power, scaled to 1: below 1 small groups gain.
 TEMPERATURE = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-SWEEPS, BUDGET = 20, 0.5
-#: Cell tables of at most so many rows are raked in one task and broadcast; larger ones are shuffled.
-SMALL = 100_000
-_BLOCK = 5
+#: Most sweeps; they end earlier when no factor moved by more than TOLERANCE, relatively.
+SWEEPS, TOLERANCE, BUDGET = 20, 1e-11, 0.5
+#: Cells that are raked within one row; more of them are raked by joins and sums.
+SMALL = 50_000
 
 
 def token_count(text: Column) -> Column:
@@ -25,12 +25,14 @@ def default_topic(text: Column, n_tokens: Column) -> Column:
     return F.when(F.contains(text, F.lit(" | ")), "table").when(n_tokens < 100, "note").when(n_tokens < 1000, "article").otherwise("book")
 
 
-def described(docs: DataFrame, topic: str | None = None) -> DataFrame:
-    """``docs`` with the columns that mixing needs, under names that clash with none: _source, _lang, _topic, _n."""
+def described(docs: DataFrame, topic: str | None, names: list[str]) -> DataFrame:
+    """``docs`` with what mixing needs: source, lang, topic and n_tokens under four ``names``."""
     text = F.col("text").cast("string")
-    out = docs.withColumn("_n", token_count(text))
-    kind = F.col(topic).cast("string") if topic else default_topic(text, F.col("_n"))
-    return out.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": F.coalesce(kind, F.lit(""))})
+    source, lang, kind, n = names
+    out = docs.withColumn(n, token_count(text))
+    group = F.col(topic).cast("string") if topic else default_topic(text, F.col(n))
+    blank = F.lit("")
+    return out.withColumns({source: F.coalesce(F.col("source").cast("string"), blank), lang: F.coalesce(F.col("lang").cast("string"), blank), kind: F.coalesce(group, blank)})
 
 
 def _targets(cells: DataFrame, dim: str, wanted: dict[str, float] | None) -> DataFrame:
@@ -45,46 +47,103 @@ def _targets(cells: DataFrame, dim: str, wanted: dict[str, float] | None) -> Dat
     return raw.join(F.broadcast(whole)).select(dim, (F.col("r") / F.col("all")).alias("t"))  # one row
 
 
+def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> dict[str, DataFrame]:
+    """For each dimension its written table (dim, f): a cell's fitted weight is its tokens times its three factors.
+
+    Gauss-Seidel raking: a dimension's factors are its targets over its sums of tokens
+    times the other factors. State is three tables of one row a group. Sums have a
+    map-side combine, so a large group is no large task, and whether a factor table is
+    broadcast is decided by Spark from its written size. One number a step reaches the
+    driver: by how much a factor moved.
+    """
+    goals = {d: materialize(_targets(cells, d, (targets or {}).get(d))) for d in DIMENSIONS}
+    now = {d: materialize(goals[d].select(d, F.lit(1.0).alias("f"))) for d in DIMENSIONS}
+    for _ in range(sweeps):
+        moved = 0.0
+        for d in DIMENSIONS:
+            x = cells.select(*DIMENSIONS, F.col("tokens").cast("double").alias("w"))
+            for o in DIMENSIONS:
+                if o != d:
+                    x = x.join(now[o], o).withColumn("w", F.col("w") * F.col("f")).drop("f")
+            sums = x.groupBy(d).agg(F.sum("w").alias("s"))
+            new = goals[d].join(sums, d).join(now[d].withColumnRenamed("f", "old"), d)
+            new = materialize(new.select(d, F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0).alias("f"), "old"))
+            step = new.agg(F.max(F.abs(F.col("f") - F.col("old")) / F.greatest("f", "old", F.lit(1e-300)))).first()[0]
+            discard(now[d])
+            written, now[d] = new._written, new.select(d, "f")
+            now[d]._written = written
+            moved = max(moved, step or 0.0)
+        if moved <= TOLERANCE:
+            break
+    discard(*goals.values())
+    return now
+
+
+def _folded(cells: DataFrame, targets: dict[str, dict[str, float]] | None, sweeps: int) -> DataFrame:
+    """``rake`` for a bounded number of cells: all sweeps are one fold over one row that holds them."""
+    for d in DIMENSIONS:
+        cells = cells.join(_targets(cells, d, (targets or {}).get(d)).withColumnRenamed("t", f"t_{d}"), d)
+    listed = cells.agg(F.sort_array(F.collect_list(F.struct(*DIMENSIONS, "tokens", *(f"t_{d}" for d in DIMENSIONS)))).alias("c")).select(F.posexplode("c").alias("i", "x"))
+    sides = F.array(*(F.struct(F.lit(k).alias("dim"), F.col(f"x.{d}").alias("name"), F.col(f"x.t_{d}").alias("t")) for k, d in enumerate(DIMENSIONS)))
+    split = listed.select("i", "x", F.explode(sides).alias("s"))
+    groups = split.groupBy("s.dim", "s.name").agg(F.first("s.t").alias("t"), F.collect_list(F.struct("i", *(F.col(f"x.{c}") for c in (*DIMENSIONS, "tokens")))).alias("members"))
+    row = groups.agg(F.collect_list(F.struct("dim", "t", "members")).alias("g"))
+    of = lambda k: F.filter("g", lambda g: g["dim"] == k)
+    places = F.array(*(F.transform(of(k), lambda g: F.struct(g["t"].alias("t"), F.transform(g["members"], lambda m: m["i"]).alias("at"))) for k in range(len(DIMENSIONS))))
+    row = row.select(F.array_sort(F.flatten(F.transform(of(0), lambda g: g["members"]))).alias("c"), places.alias("places"))
+
+    def scaled(w: Column, step: Column) -> Column:
+        def group(g: Column) -> Column:
+            whole = F.aggregate(g["at"], F.lit(0.0), lambda a, i: a + F.get(w, i))
+            once = F.transform(F.array(whole), lambda s: F.transform(g["at"], lambda i: F.struct(i.alias("i"), F.when(s > 0, F.get(w, i) * g["t"] / s).otherwise(0.0).alias("w"))))
+            return F.get(once, 0)
+
+        return F.transform(F.array_sort(F.flatten(F.transform(F.get("places", F.pmod(step, F.lit(len(DIMENSIONS)))), group))), lambda x: x["w"])
+
+    steps = F.expr(f"sequence(0, {len(DIMENSIONS) * sweeps - 1})")
+    fitted = F.aggregate(steps, F.transform("c", lambda x: x["tokens"].cast("double")), scaled) if sweeps else F.transform("c", lambda x: x["tokens"].cast("double"))
+    return row.select(F.explode(F.arrays_zip("c", fitted.alias("w"))).alias("z")).select(*(F.col(f"z.c.{c}").alias(c) for c in (*DIMENSIONS, "tokens")), "z.w")
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """(source, lang, topic, tokens, w): token weights whose marginals approach the targets; ``w`` adds up to 1.
 
-    ``cells`` has one row per combination, with its tokens (more than 0). A sweep scales
-    the weights to each dimension's targets in turn. Targets of groups that have no
-    tokens are dropped. Sums over a group run over cells, never over documents.
+    ``cells`` has one row per combination, with its tokens. A sweep scales the weights to
+    each dimension's targets in turn. Cells without tokens and targets of groups that
+    have none are dropped. Up to SMALL cells are raked within one row, which takes one job
+    for all sweeps; more by factor tables (``factors``). Both give the same weights.
     """
-    small = cells.count() <= SMALL
-    now = cells.where("tokens > 0").select(*DIMENSIONS, "tokens").withColumn("w", F.col("tokens").cast("double"))
+    cells = materialize(cells.where("tokens > 0").select(*DIMENSIONS, "tokens"))
+    if cells.count() <= SMALL:
+        out = materialize(_folded(cells, targets, sweeps))
+        discard(cells)
+        return out
+    fitted = factors(cells, targets, sweeps)
+    out = cells.withColumn("w", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
-        goal = _targets(cells.where("tokens > 0"), d, (targets or {}).get(d)).withColumnRenamed("t", f"t_{d}")
-        now = now.join(F.broadcast(goal) if small else goal, d)
-    now = materialize(now)
-    for done in range(0, sweeps, _BLOCK):
-        if small:
-            now = now.coalesce(1)
-        for _ in range(min(_BLOCK, sweeps - done)):
-            for d in DIMENSIONS:
-                now = now.withColumn("s", F.sum("w").over(Window.partitionBy(d))).withColumn("w", F.when(F.col("s") > 0, F.col("w") * F.col(f"t_{d}") / F.col("s")).otherwise(0.0)).drop("s")
-        now = materialize(now)
-    return now.select(*DIMENSIONS, "tokens", "w")
+        out = out.join(fitted[d], d).withColumn("w", F.col("w") * F.col("f")).drop("f")
+    out = materialize(out.select(*DIMENSIONS, "tokens", "w"))
+    discard(cells, *fitted.values())
+    return out
 
 
 def calibrate(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     """(source, lang, topic, p): p = min(1, scale * w / tokens), with the scale at which ``budget`` of all tokens are expected.
 
-    Cells that are wanted more than they can give are taken whole; in the order of want,
-    the first count of such cells at which the next one fits gives the scale.
+    Cells that are wanted more than they can give are taken whole, and the rest of the
+    budget is shared by the others. Setting such cells aside raises the scale, which may
+    fill more cells; the steps end when none is added. A step is one sum over cells.
     """
-    small = raked.count() <= SMALL
-    cells = raked.withColumn("r", F.col("w") / F.col("tokens"))
-    if small:
-        cells = cells.coalesce(1)
-    order = Window.orderBy(F.desc("r"), *DIMENSIONS)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumns({"full": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "left": F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
-    all_tokens = raked.agg(F.sum("tokens").alias("all"))
-    cells = cells.join(F.broadcast(all_tokens))  # one row
-    scale = cells.withColumn("scale", (F.col("all") * F.lit(budget) - F.col("full")) / F.col("left")).where("r > 0 AND scale >= 0 AND scale * r <= 1 + 1e-12").agg(F.max("scale").alias("scale"))
-    return cells.join(F.broadcast(scale)).select(*DIMENSIONS, F.least(F.lit(1.0), F.coalesce(F.col("scale") * F.col("r"), F.lit(1.0))).alias("p"))  # one row
+    r = F.col("w") / F.col("tokens")
+    scale, filled = 0.0, -1
+    while True:
+        full = (r * F.lit(scale) >= 1 - 1e-12) & (r > 0) if filled >= 0 else F.lit(False)
+        n, taken, left, whole = raked.agg(F.count_if(full), F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("w"))), F.sum("tokens")).first()
+        if n == filled or not left:
+            break
+        filled, scale = n, (whole * budget - (taken or 0)) / left
+    p = F.least(F.lit(1.0), F.lit(scale) * r) if scale > 0 and left else F.lit(1.0)
+    return raked.select(*DIMENSIONS, F.when(r > 0, p).otherwise(0.0).alias("p"))
 
 
 def _uniform(doc_id: Column, seed: str) -> Column:
@@ -93,10 +152,13 @@ def _uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
-def _probabilities(rows: DataFrame, targets: dict[str, dict[str, float]] | None, budget: float, sweeps: int) -> tuple[DataFrame, bool]:
-    cells = materialize(rows.groupBy(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_n").alias("tokens")))
-    p = materialize(calibrate(rake(cells, targets, sweeps), budget))
-    return p.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("p").alias("_p")), p.count() <= SMALL
+def _with_probability(rows: DataFrame, names: list[str], p_name: str, targets: dict[str, dict[str, float]] | None, budget: float, sweeps: int) -> DataFrame:
+    """``rows`` joined to their cell's probability. The join is on the cell; Spark broadcasts the written table where it is small, and splits skewed cells where it is not."""
+    cells = materialize(rows.groupBy(*(F.col(n).alias(d) for n, d in zip(names, DIMENSIONS, strict=False))).agg(F.sum(names[3]).alias("tokens")))
+    raked = rake(cells, targets, sweeps)
+    p = materialize(calibrate(raked, budget).select(*(F.col(d).alias(n) for n, d in zip(names, DIMENSIONS, strict=False)), F.col("p").alias(p_name)))
+    discard(cells, raked)
+    return rows.join(p, names[:3], "left").withColumn(p_name, F.coalesce(p_name, F.lit(0.0)))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: str | None = None, budget: float = BUDGET, seed: str = "mix", sweeps: int = SWEEPS) -> DataFrame:
@@ -107,21 +169,20 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, top
     by dimension and group; a dimension that it leaves out gets its token shares to the
     power in TEMPERATURE. Whether a row is sampled depends on doc_id and seed alone, so
     retries agree and equal ids are sampled together. Null source, lang or topic is the
-    group ''. Rows of cells without tokens have probability 0.
+    group ''. Rows of cells without tokens have probability 0. Other columns are ignored.
     """
-    rows = materialize(described(docs.select("doc_id", "text", "source", "lang", *([topic] if topic and topic not in ("source", "lang") else [])), topic).select(F.col("doc_id").cast("long").alias("doc_id"), "_n", *(f"_{d}" for d in DIMENSIONS)))
-    p, small = _probabilities(rows, targets, budget, sweeps)
-    out = rows.join(F.broadcast(p) if small else p, [f"_{d}" for d in DIMENSIONS], "left")
-    chance = F.coalesce("_p", F.lit(0.0))
-    return out.select("doc_id", *(F.col(f"_{d}").alias(d) for d in DIMENSIONS), F.col("_n").alias("n_tokens"), F.round(chance, 6).alias("probability"), (_uniform(F.col("doc_id"), seed) < chance).alias("sampled"))
+    names = ["source_group", "lang_group", "topic_group", "n_tokens"]
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", *([F.col(topic).cast("string").alias("given_topic")] if topic else []))
+    rows = materialize(described(picked, "given_topic" if topic else None, names).select("doc_id", *names))
+    out = _with_probability(rows, names, "p", targets, budget, sweeps)
+    return out.select("doc_id", *(F.col(n).alias(d) for n, d in zip(names, DIMENSIONS, strict=False)), "n_tokens", F.round("p", 6).alias("probability"), (_uniform(F.col("doc_id"), seed) < F.col("p")).alias("sampled"))
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, topic: str | None = None, budget: float = BUDGET, seed: str = "mix", sweeps: int = SWEEPS) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns and ``mix_probability``."""
-    rows = described(docs, topic)
-    p, small = _probabilities(rows, targets, budget, sweeps)
-    out = rows.join(F.broadcast(p) if small else p, [f"_{d}" for d in DIMENSIONS], "left").where(_uniform(F.col("doc_id"), seed) < F.coalesce("_p", F.lit(0.0)))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.round("_p", 6).alias("mix_probability"))
+    """The sampled rows of ``docs`` with all their columns and ``mix_probability`` (with underscores behind it where ``docs`` has that name)."""
+    *names, p_name = free_names(docs, "source_group", "lang_group", "topic_group", "n_tokens", "p")
+    out = _with_probability(described(docs, topic, names), names, p_name, targets, budget, sweeps).where(_uniform(F.col("doc_id"), seed) < F.col(p_name))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.round(p_name, 6).alias(free_names(docs, "mix_probability")[0]))
 
 
 def sql() -> str:

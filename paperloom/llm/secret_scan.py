@@ -93,32 +93,38 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
 
 @dataclass
 class Forest:
-    """A fitted forest and its trees as nested conditions."""
+    """A fitted forest, its trees as one list of nodes: (feature or -1, threshold or share of secrets, left, right)."""
 
     model: RandomForestClassificationModel
-    trees: list
+    nodes: list[tuple[int, float, int, int]]
+    roots: list[int]
+    depth: int
 
-    def score(self, values: list[Column]) -> Column:
-        """Mean over the trees of the share of secrets in the leaf."""
+    def score(self, values: Column) -> Column:
+        """Mean over the trees of the share of secrets in the leaf. ``values``: the features in an array."""
+        numbers = lambda k, kind: F.expr(f"array({', '.join(f'{n[k]!r}{kind}' for n in self.nodes)})")
+        feature, limit, left, right = (numbers(k, kind) for k, kind in enumerate(("", "D", "", "")))
+        at = lambda a, i: F.get(a, i)
 
-        def at(node: object) -> Column:
-            if isinstance(node, float):
-                return F.lit(node)
-            i, limit, left, right = node
-            return F.when(values[i] <= limit, at(left)).otherwise(at(right))
+        def step(node: Column, _: Column) -> Column:
+            return F.when(at(feature, node) < 0, node).when(at(values, at(feature, node)) <= at(limit, node), at(left, node)).otherwise(at(right, node))
 
-        total = at(self.trees[0])
-        for t in self.trees[1:]:
-            total = total + at(t)
-        return total / float(len(self.trees))
+        leaf = lambda root: F.aggregate(F.expr(f"sequence(1, {max(1, self.depth)})"), root, step)
+        roots = F.expr(f"array({', '.join(map(str, self.roots))})")
+        return F.aggregate(roots, F.lit(0.0), lambda total, root: total + at(limit, leaf(root))) / float(len(self.roots))
 
 
-def _tree(node) -> object:
+def _nodes(node, into: list[tuple[int, float, int, int]]) -> int:
+    """Append a tree; gives the place of its root."""
+    at = len(into)
+    into.append((-1, 0.0, at, at))
     if node.getClass().getSimpleName() == "LeafNode":
         stats = list(node.impurityStats().stats())
-        return float(stats[1] / (stats[0] + stats[1]))
-    split = node.split()
-    return (split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild()))
+        into[at] = (-1, float(stats[1] / (stats[0] + stats[1])), at, at)
+    else:
+        split = node.split()
+        into[at] = (split.featureIndex(), float(split.threshold()), _nodes(node.leftChild(), into), _nodes(node.rightChild(), into))
+    return at
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
@@ -126,7 +132,9 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     rows = findings.select(*(c.cast("double").alias(n) for c, n in zip(features(F.col("left"), F.col("found"), F.col("right")), FEATURES, strict=True)), "label")
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows)
     model = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready)
-    return Forest(model, [_tree(t._call_java("rootNode")) for t in model.trees])
+    nodes: list[tuple[int, float, int, int]] = []
+    roots = [_nodes(t._call_java("rootNode"), nodes) for t in model.trees]
+    return Forest(model, nodes, roots, depth)
 
 
 def default_forest(spark: SparkSession) -> Forest:
@@ -142,7 +150,7 @@ def _scored(text: Column, forest: Forest) -> Column:
         lambda z: F.struct(z["part"].alias("part"), F.right(z["part"], F.lit(LEFT)).alias("left"), z["found"].alias("found"), F.left(z["next"], F.lit(RIGHT)).alias("right")),
     )
     seen = F.transform(zipped, lambda z: F.struct(z["part"].alias("part"), z["left"].alias("left"), z["found"].alias("found"), z["right"].alias("right"), F.array(*(c.cast("double") for c in features(z["left"], z["found"], z["right"]))).alias("x")))
-    return F.transform(seen, lambda z: F.struct(z["part"].alias("part"), z["left"].alias("left"), z["found"].alias("found"), z["right"].alias("right"), F.when(z["found"] == "", F.lit(0.0)).otherwise(forest.score([z["x"][i] for i in range(len(FEATURES))])).alias("score")))
+    return F.transform(seen, lambda z: F.struct(z["part"].alias("part"), z["left"].alias("left"), z["found"].alias("found"), z["right"].alias("right"), F.when(z["found"] == "", F.lit(0.0)).otherwise(forest.score(z["x"])).alias("score")))
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:

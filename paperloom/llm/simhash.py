@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import FILTER_BITS, LOWER, Words, column_slices, fixed_filter, in_filter, materialize, mix, prepare, split_by_ids, words_of
+from .common import FILTER_BITS, LOWER, Words, column_slices, discard, fixed_filter, free_names, in_filter, materialize, mix, prepare, split_by_keys, text_key, words_of
 
 _CHUNK = 1 << 16
 
@@ -98,7 +98,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     named = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     degree = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    of = named.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # written, so that the join below has nothing but its two sides in a stage, and Spark splits fingerprints of many copies
+    of = materialize(named.join(names, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    discard(nodes, pairs)
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
@@ -133,11 +135,11 @@ def _per_row(row: np.ndarray, n: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp, sid, size, bands): fingerprint, identity and size of the shingle set, hashes of its bands."""
+    """(doc_id, text_key, fp, sid, size, bands): fingerprint, identity and size of the shingle set, hashes of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offs in column_slices(b.column(1)):
+            for lo, hi, data, offs in column_slices(b.column(2)):
                 row, key = _sets(words_of(data, offs, LOWER), shingle)
                 at = _per_row(row, hi - lo)
                 sid = [xxhash.xxh3_128_hexdigest(key[i:j].tobytes()) for i, j in zip(at, at[1:], strict=False)]
@@ -147,10 +149,10 @@ def _signatures(docs: DataFrame, shingle: int) -> DataFrame:
                     least = np.minimum.reduceat(key * _PERMUTE[0, k] + _PERMUTE[1, k], at[:-1][full])
                     bands[k // ROWS, full] = mix(bands[k // ROWS, full] ^ mix(least))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(bands.T).ravel().view(np.int64)))
-                fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1).slice(lo, hi - lo)], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(fps), pa.array(sid), pa.array(np.diff(at), pa.int64()), lists], ["doc_id", "fp", "sid", "size", "bands"])
+                fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2).slice(lo, hi - lo)], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(fps), pa.array(sid), pa.array(np.diff(at), pa.int64()), lists], ["doc_id", "text_key", "fp", "sid", "size", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, sid string, size long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_key string, fp long, sid string, size long, bands array<long>")
 
 
 def _candidate_sets(docs: DataFrame, shingle: int, wanted) -> DataFrame:
@@ -223,7 +225,7 @@ def _merges(similarity: float):
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 3) -> DataFrame:
-    """doc_id, component_id for each row of ``docs``: groups linked by a Jaccard similarity of distinct word shingles.
+    """doc_id, text_key, component_id, stays for each row of ``docs``: groups linked by a Jaccard similarity of distinct word shingles.
 
     A 64-bit SimHash cannot see such a similarity alone: sets at 0.8 lie 4 to 14 bits
     apart, and no Hamming ball of that radius can be enumerated. So pairs within
@@ -232,11 +234,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, d
     with the first one and with the one before it, which links dense groups by few pairs.
     Buckets that still have sets of different components are then compared whole, in
     blocks of a bounded size, so that no pair of a bucket is left undecided. Equal sets are
-    one node. Null and empty texts are equal. ``component_id`` is the smallest doc_id of the group.
+    one node. Null and empty texts are equal. ``component_id`` is the smallest doc_id of the
+    group. ``stays`` marks the row with it, and of rows with one id that with the least
+    ``text_key``; a null id comes last. Ids do not link: rows that share one, or have none, are
+    in one group only if their texts are.
     """
     prepare(docs.sparkSession)
     sigs = materialize(_signatures(docs, shingle))
-    nodes = materialize(sigs.groupBy("sid").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = materialize(sigs.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     by_fp = materialize(nodes.groupBy("fp").agg(F.min("sid").alias("lead"), F.count_if(F.col("size") > 0).alias("n")))
     bits = materialize(links(by_fp, distance))
     lead = lambda c: by_fp.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_sid"), F.col("n").alias(f"{c}_n"))
@@ -264,29 +269,37 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, d
     sets = materialize(_candidate_sets(docs, shingle, wanted))
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    edges = materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    large = materialize(large.join(connected_components(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    verified = materialize(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    placed_large = large
+    large = materialize(large.join(connected_components(verified).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     h = F.xxhash64("sid")
     opened = large.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("y")).where("lo <> hi")
     opened = opened.groupBy("n", "x", "y").agg(F.first(F.struct("band", "key", F.ceil(F.col("mass") / BLOCK_SHINGLES).cast("int").alias("blocks"))).alias("o")).select("o.*")  # buckets of the same sets count once
     block = large.join(opened, ["band", "key"]).withColumn("own", F.pmod(h, F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = block.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "root")
     more = cells.join(sets, "sid").groupBy("band", "key", "i", "j").applyInArrow(_merges(similarity), "a string, b string")
-    edges = edges.unionByName(more)
+    edges = verified.unionByName(more)
     named = nodes.select("sid", "least").join(connected_components(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    of = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
-    return sigs.select("doc_id", "sid").join(of, "sid").select("doc_id", "component_id")
+    of = materialize(named.join(named.groupBy("root").agg(F.min("least").alias("head")), "root").select("sid", "head"))
+    joined = sigs.select("doc_id", "text_key", "sid").join(of, "sid")
+    out = materialize(joined.select("doc_id", "text_key", F.col("head.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key"))).alias("stays")))
+    discard(sigs, nodes, by_fp, bits, placed, pairs, placed_large, large, sets, verified, of)
+    return out
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their group in ``groups`` (doc_id, component_id); of rows with one doc_id, one stays.
+    """The rows of ``docs`` that stay in ``groups`` (the output of ``similar_groups`` for them), with all their columns.
 
-    Only rows that may have to go are joined and shuffled.
+    Of rows with equal doc_id and text any one stays. Only rows that may have to go are
+    joined and shuffled.
     """
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    touched = materialize(groups.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(own).alias("_own"), F.count(F.lit(1)).alias("_rows")).where("NOT _own OR _rows > 1").drop("_rows"))
-    others, maybe = split_by_ids(docs, touched.select(F.col("_id").alias("doc_id")))
-    left = maybe.join(touched, maybe["doc_id"].eqNullSafe(touched["_id"]), "left").where("_own IS NULL OR _own")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    left = left.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place", "_own", "_id")
-    return others.unionByName(left)
+    rid, stays, n, row = free_names(docs, "row_key", "stays", "n", "row")
+    key = lambda text: F.concat_ws("/", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), text)
+    touched = groups.groupBy(key(F.col("text_key")).alias(rid)).agg(F.max("stays").alias(stays), F.count(F.lit(1)).alias(n)).where(f"NOT `{stays}` OR `{n}` > 1")
+    touched = materialize(touched)
+    others, maybe = split_by_keys(docs, key(text_key(F.col("text"))), touched.select(rid), rid)
+    left = maybe.join(touched, rid, "left").where(f"coalesce(`{stays}`, true)")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row)
+    many = left.where(f"`{n}` > 1").select(rid, whole).groupBy(rid).agg(F.first(row).alias(row)).select(f"{row}.*")
+    kept = left.where(f"coalesce(`{n}`, 1) = 1").select(*(f"`{c}`" for c in docs.columns)).unionByName(many)
+    return kept if others is None else others.unionByName(kept)

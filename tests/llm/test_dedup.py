@@ -97,8 +97,9 @@ def test_similar_groups(spark):
     assert {r.doc_id: r.component_id for r in groups.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7}
     kept = simhash.keep_one(docs_of(spark, texts), groups)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 4, 5, 7] and kept.columns == docs_of(spark, []).columns
-    twice = docs_of(spark, ["x y z", "x y z"], [3, 3])
-    assert simhash.keep_one(twice, simhash.similar_groups(twice)).count() == 1
+    twice = docs_of(spark, ["x y z", "x y z", "p q r", "p q r s t u v"], [3, 3, None, None])
+    kept = simhash.keep_one(twice, simhash.similar_groups(twice))
+    assert sorted(r.text for r in kept.collect()) == ["p q r", "p q r s t u v", "x y z"]  # null ids are no group
     assert simhash.similar_groups(docs_of(spark, [])).count() == 0
 
 

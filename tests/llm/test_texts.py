@@ -229,7 +229,7 @@ def test_forest_is_its_trees(spark, forest):
     from pyspark.ml.functions import vector_to_array
 
     x = VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="x").transform(rows)
-    both = forest.model.transform(x).withColumn("a", F.array(*secret_scan.FEATURES)).select("label", vector_to_array("probability")[1].alias("p"), F.element_at(F.transform(F.array("a"), lambda a: forest.score([a[i] for i in range(len(secret_scan.FEATURES))])), 1).alias("q")).collect()
+    both = forest.model.transform(x).withColumn("a", F.array(*secret_scan.FEATURES)).select("label", vector_to_array("probability")[1].alias("p"), F.element_at(F.transform(F.array("a"), forest.score), 1).alias("q")).collect()
     assert all(abs(r.p - r.q) < 1e-9 for r in both)
     assert sum((r.q >= 0.5) == (r.label == 1) for r in both) / len(both) > 0.98
 
@@ -253,15 +253,18 @@ def test_scan_and_redact(spark, forest):
 # --- mixing -----------------------------------------------------------------------------------
 
 
-def test_raking_meets_targets(spark):
+@pytest.mark.parametrize("small", [mixing.SMALL, 0])
+def test_raking_meets_targets(spark, monkeypatch, small):
+    monkeypatch.setattr(mixing, "SMALL", small)  # 0: by factor tables
     rng = random.Random(9)
     cells = spark.createDataFrame([(s, g, t, rng.randrange(1, 1000)) for s in "abc" for g in ("x", "y") for t in ("u", "v")], "source string, lang string, topic string, tokens long")
     want = {"source": {"a": 0.2, "b": 0.3, "c": 0.5}, "lang": {"x": 0.6, "y": 0.4}, "topic": {"u": 0.5, "v": 0.5}}
-    got = mixing.rake(cells, want).collect()
+    raked = mixing.rake(cells, want)
+    got = raked.collect()
     for d, t in want.items():
         for k, share in t.items():
             assert abs(sum(r.w for r in got if r[d] == k) - share) < 1e-6
-    p = mixing.calibrate(mixing.rake(cells, want), 0.3).collect()
+    p = mixing.calibrate(raked, 0.3).collect()
     tokens_ = {(r.source, r.lang, r.topic): r.tokens for r in got}
     assert abs(sum(r.p * tokens_[r.source, r.lang, r.topic] for r in p) / sum(tokens_.values()) - 0.3) < 1e-6 and all(0 <= r.p <= 1 for r in p)
 
@@ -274,4 +277,7 @@ def test_mixing_odd_tables(spark):
     assert len(got) == 5 and {r.doc_id: r.sampled for r in got} == {1: True, None: False, 2: False, 3: True}
     kept = mixing.sample(df, budget=1.0)
     assert kept.columns == [*df.columns, "mix_probability"] and sorted(r.doc_id for r in kept.collect()) == [1, 1, 3]
+    clash = df.withColumns({c: F.lit(99) for c in ("_n", "n_tokens", "topic_group", "mix_probability", "f")})
+    kept = mixing.sample(clash, budget=1.0)
+    assert kept.columns == [*clash.columns, "mix_probability_"] and all((r.n_tokens, r.mix_probability, r._n) == (99, 99, 99) for r in kept.collect())
     assert mixing.mix(df.limit(0)).count() == 0
