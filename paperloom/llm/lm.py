@@ -1,4 +1,8 @@
-"""Language-model scores: a log-bilinear model over the two words before, trained by noise-contrastive estimation."""
+"""Language-model scores: a log-bilinear model over the two words before, trained by noise-contrastive estimation.
+
+A word's probability is that of its class, given the two classes before, times its own in
+the class, given the same. The most frequent words are classes of their own.
+"""
 
 from __future__ import annotations
 
@@ -13,14 +17,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_slices, materialize, prepare
+from .common import column_slices, discard, materialize, prepare
 
 #: Words whose counts every executor holds; the others are joined.
 HEAD = 1 << 17
-#: Words with a vector of their own, and classes by word ending for all others.
-OWN, ENDINGS = 1000, 128
-#: Length of vectors, noise words a batch, positions in the largest and the first batches, rounds of training.
-DIM, NOISE, BATCH, LEAST_BATCH, ROUNDS = 16, 32, 8192, 128, 2
+#: Words that are classes of their own; other words fall into classes by their ending. Words
+#: seen SEEN times or more have a vector in their class, up to HEAD of them.
+OWN, SEEN = 1000, 10
+#: Length of vectors; noise words a batch of classes, and a word in a class; positions in the largest and the first batches; rounds of training.
+DIM, NOISE, NOISE_IN, BATCH, LEAST_BATCH, ROUNDS = 16, 32, 4, 8192, 128, 2
+#: Tokens of a shard. Shards are dealt by a hash of id and text, and each trains on its own from
+#: the common model, so what is learnt does not depend on files, partitions or retries.
+SHARD = 1 << 21
 _FLUSH = 1 << 19
 _LN10 = float(np.log(10))
 
@@ -30,19 +38,9 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-class _Endings(dict):
-    """Class of a word by its last three bytes, remembered."""
-
-    def __missing__(self, tail: bytes) -> int:
-        self[tail] = out = zlib.crc32(tail) % ENDINGS
-        return out
-
-
-_endings = _Endings()
-
-
 def ending(word: bytes) -> int:
-    return _endings[word[-3:]]
+    """A number that words with equal last three bytes share."""
+    return zlib.crc32(word[-3:])
 
 
 def _split(text: str | None) -> list[bytes]:
@@ -73,52 +71,77 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """The most frequent words, at most HEAD of them, and sums over all."""
+    """The most frequent words, at most HEAD of them, and sums over all.
+
+    A token is coded as a number: a word with a vector (``OWN`` classes first, then members
+    of classes), the rest of a class, or the end. ``rank`` is the place in ``counts``.
+    """
 
     index: dict[bytes, int]
     counts: np.ndarray
-    codes: np.ndarray
     own: int
-    class_size: np.ndarray
-    class_words: np.ndarray
+    endings: int
+    members: np.ndarray
+    rest_count: np.ndarray
+    rest_words: np.ndarray
     tokens: int
     distinct: int
     ends: int
 
-    @property
-    def size(self) -> int:
-        return self.own + ENDINGS + 1
+    def __post_init__(self) -> None:
+        """``members``: class (from 0) of each word with a vector behind the first ``own``."""
+        m, e = len(self.members), self.endings
+        self.vectors = self.own + m
+        self.end = self.vectors + e
+        self.class_of = np.concatenate((np.arange(self.own), self.own + self.members, self.own + np.arange(e), [self.own + e]))
+        inside = np.concatenate((self.members, np.arange(e)))
+        self.slots = np.argsort(inside, kind="stable")  # members and rests, class by class
+        self.slot_of = np.empty(len(inside), np.int64)
+        self.slot_of[self.slots] = np.arange(len(inside))
+        self.class_at = np.searchsorted(inside[self.slots], np.arange(e + 1))
+        weight = np.concatenate((self.counts[self.own : self.vectors] + 1.0, self.rest_count + 1.0))[self.slots]
+        self.slot_sum = np.cumsum(weight)
+        whole = np.add.reduceat(weight, self.class_at[:-1]) if e else np.zeros(0)
+        self.slot_share = weight / np.repeat(whole, np.diff(self.class_at))
+        freq = np.ones(self.classes)
+        freq[: self.own] += self.counts[: self.own]
+        freq[self.own : -1] += whole
+        freq[-1] += self.ends
+        self.freq = freq / freq.sum()
 
     @property
-    def end(self) -> int:
-        return self.own + ENDINGS
+    def classes(self) -> int:
+        return self.own + self.endings + 1
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``counts`` or -1, code) of each word."""
+        """(place in ``counts`` or -1, token code) of each word."""
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        codes = self.codes[at] if len(self.codes) else np.zeros(len(words), np.int64)
-        new = np.flatnonzero(at < 0)
-        codes[new] = self.own + np.fromiter((_endings[words[i][-3:]] for i in new.tolist()), np.int64, len(new))
+        codes = at.copy()
+        rest = np.flatnonzero((at < 0) | (at >= self.vectors))
+        seen: dict[bytes, int] = {}
+        e, base = self.endings, self.vectors
+        for i in rest.tolist():
+            tail = words[i][-3:]
+            if (c := seen.get(tail)) is None:
+                seen[tail] = c = base + zlib.crc32(tail) % e
+            codes[i] = c
         return at, codes
 
-    def stream(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of documents one after the other, an end behind each: (codes, code before, second before, first place of each document)."""
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+    def stream(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Codes of documents one after the other, an end behind each."""
         out = np.full(len(codes) + len(sizes), self.end, np.int64)
-        out[np.arange(len(codes)) + doc] = codes
-        one = np.append(self.end, out[:-1])
-        two = np.where(one == self.end, self.end, np.append([self.end, self.end], out[:-2])[: len(out)])
-        return out, one, two, np.cumsum(sizes + 1) - sizes - 1
+        out[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = codes
+        return out
 
-    def code_frequencies(self) -> np.ndarray:
-        out = np.ones(self.size)
-        out[: self.own] += self.counts[: self.own]
-        out[self.own : self.end] += self.class_size
-        out[self.end] += self.ends
-        return out / out.sum()
+    def contexts(self, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(class, class before, second before) of each token of a stream; an end stands before each document."""
+        w, end = self.class_of[stream], self.classes - 1
+        one = np.append(end, w[:-1])
+        two = np.where(one == end, end, np.append([end, end], w[:-2])[: len(w)])
+        return w, one, two
 
 
-def vocabulary(counts: DataFrame, n_docs: int, head: int = HEAD, own: int = OWN) -> tuple[Vocabulary, DataFrame]:
+def vocabulary(counts: DataFrame, n_docs: int, head: int = HEAD, own: int = OWN, seen: int = SEEN) -> tuple[Vocabulary, DataFrame]:
     """The vocabulary of a count table, and the table of the words that are not in its head."""
     band = F.floor(F.log2("c") * 8)
     bands = sorted(((r.band, r.n) for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # fewer than 512
@@ -128,72 +151,110 @@ def vocabulary(counts: DataFrame, n_docs: int, head: int = HEAD, own: int = OWN)
             break
         cut, room = b, room - n
     top = counts.where(band >= cut).toPandas().sort_values(["c", "word"], ascending=[False, True])
-    words = [w.encode() for w in top["word"]]
+    words, c = [w.encode() for w in top["word"]], top["c"].to_numpy(np.int64)
     own = min(own, len(words))
-    codes = np.array([i if i < own else own + ending(w) for i, w in enumerate(words)], np.int64)
-    tail3 = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)), F.lit(ENDINGS))
-    rest, words_in = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+    vectors = max(own, int((c >= seen).sum()))
+    endings = 1 << min(10, max(7, ((vectors - own) // 128).bit_length()))
+    tail3 = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)), F.lit(endings))
+    rest, words_in = np.zeros(endings, np.int64), np.zeros(endings, np.int64)
     for r in counts.groupBy(tail3.alias("e")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
         rest[r.e], words_in[r.e] = r.c, r.n
-    c = top["c"].to_numpy(np.int64)
-    for i in range(own):
-        e = ending(words[i])
-        rest[e] -= c[i]
-        words_in[e] -= 1
-    total = int(rest.sum() + c[:own].sum())
-    v = Vocabulary({w: i for i, w in enumerate(words)}, c, codes, own, rest, words_in, total + n_docs, int(words_in.sum()) + own + (n_docs > 0), n_docs)
+    total, distinct = int(rest.sum()), int(words_in.sum())
+    tails = np.array([ending(w) % endings for w in words[:vectors]], np.int64)
+    np.subtract.at(rest, tails, c[:vectors])
+    np.subtract.at(words_in, tails, 1)
+    v = Vocabulary({w: i for i, w in enumerate(words)}, c, own, endings, tails[own:], rest, words_in, total + n_docs, distinct + (n_docs > 0), n_docs)
     return v, counts.where(band < cut)
 
 
+def _step(p: np.ndarray, s: np.ndarray, g: np.ndarray, rate: float, n: int) -> None:
+    """An Adagrad step by a gradient that is summed over ``n`` positions, in place."""
+    g = g / n
+    s += g * g * n
+    p += rate * g * n**0.5 / np.sqrt(s)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 @dataclass
 class Model:
-    """Vectors of the word before and the one before that, of the word itself, and biases; all over codes."""
+    """Vectors of the class before and the one before that, of the class itself and biases; vectors and biases of words in their classes (by slot)."""
 
     before: np.ndarray
     second: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    word: np.ndarray
+    word_bias: np.ndarray
 
     @classmethod
-    def start(cls, freq: np.ndarray, dim: int = DIM) -> Model:
+    def start(cls, v: Vocabulary, dim: int = DIM) -> Model:
         rng = np.random.default_rng(5)
-        a, b, c = (rng.normal(0, 0.1, (dim, len(freq))) for _ in range(3))
-        return cls(a, b, c, np.log(freq))
+        a, b, c = (rng.normal(0, 0.1, (dim, v.classes)) for _ in range(3))
+        return cls(a, b, c, np.log(v.freq), np.zeros((dim, len(v.slots))), np.log(v.slot_share))
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.before, self.second, self.out, self.bias, self.word, self.word_bias
 
-    def train(self, streams: Iterator[tuple[np.ndarray, ...]], freq: np.ndarray, rate: float, seed: int) -> int:
-        """Noise-contrastive steps (Adagrad) over code streams, in place; returns the positions seen."""
+    def train(self, streams: Iterator[np.ndarray], v: Vocabulary, rate: float, seed: int) -> int:
+        """Noise-contrastive steps (Adagrad) over token streams, in place; returns the positions seen."""
         rng = np.random.default_rng(seed)
-        size, cum = len(freq), np.cumsum(freq)
-        parts = (self.before, self.second, self.out, self.bias)
-        squares = [np.full(p.shape, 1e-3) for p in parts]
-        log_noise = np.log(NOISE * freq)
+        size, cum, log_noise = v.classes, np.cumsum(v.freq), np.log(NOISE * v.freq)
+        squares = [np.full(p.shape, 1e-3) for p in self.parts()]
         spread = lambda codes, grad: np.stack([np.bincount(codes, g, size) for g in grad])
         seen = 0
-        for codes, one, two, _ in streams:
+        for tokens in streams:
+            all_w, one, two = v.contexts(tokens)
             i = 0
-            while i < len(codes):
+            while i < len(tokens):
                 size_now = min(BATCH, max(LEAST_BATCH, seen // 16))  # little text gives many small steps
-                w, c1, c2 = codes[i : i + size_now], one[i : i + size_now], two[i : i + size_now]
+                now = slice(i, i + size_now)
+                w, c1, c2 = all_w[now], one[now], two[now]
                 i += size_now
                 noise = np.minimum(np.searchsorted(cum, rng.random(NOISE)), size - 1)
                 q = np.take(self.before, c1, axis=1) + np.take(self.second, c2, axis=1)
                 uw, un = np.take(self.out, w, axis=1), self.out[:, noise]
-                gain = 1 / (1 + np.exp(np.clip((q * uw).sum(0) + self.bias[w] - log_noise[w], -30, 30)))
-                odds = (q.T @ un + (self.bias[noise] - log_noise[noise])).astype(np.float32)
-                loss = (-1 / (1 + np.exp(-np.clip(odds, -30, 30)))).astype(np.float64)
+                gain = _sigmoid(-((q * uw).sum(0) + self.bias[w] - log_noise[w]))
+                loss = -_sigmoid((q.T @ un + (self.bias[noise] - log_noise[noise])).astype(np.float32)).astype(np.float64)
+                self._within(tokens[now], q, v, rate, rng, squares)
                 dq = gain * uw + un @ loss.T
                 d_out = spread(w, gain * q)
                 np.add.at(d_out, (slice(None), noise), q @ loss)
                 d_bias = np.bincount(w, gain, size) + np.bincount(noise, loss.sum(0), size)
-                for p, s, g in zip(parts, squares, (spread(c1, dq), spread(c2, dq), d_out, d_bias), strict=True):
-                    g /= len(w)
-                    s += g * g * len(w)
-                    p += rate * g * len(w) ** 0.5 / np.sqrt(s)
+                for p, s, g in zip(self.parts()[:4], squares, (spread(c1, dq), spread(c2, dq), d_out, d_bias), strict=False):
+                    _step(p, s, g, rate, len(w))
                 seen += len(w)
         return seen
 
+    def _within(self, tokens: np.ndarray, q: np.ndarray, v: Vocabulary, rate: float, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
+        """The step for words in their classes; noise comes from the same class."""
+        hit = np.flatnonzero((tokens >= v.own) & (tokens < v.end))
+        if not len(hit):
+            return
+        slot = v.slot_of[tokens[hit] - v.own]
+        k = v.class_of[tokens[hit]] - v.own
+        low = np.append(0.0, v.slot_sum)[v.class_at[k]]
+        high = v.slot_sum[v.class_at[k + 1] - 1]
+        noise = np.searchsorted(v.slot_sum, low[:, None] + rng.random((len(hit), NOISE_IN)) * (high - low)[:, None], side="right")
+        slots = np.column_stack((slot, np.minimum(noise, v.class_at[k + 1][:, None] - 1)))
+        used, at = np.unique(slots, return_inverse=True)
+        at = at.reshape(slots.shape)
+        vec = self.word[:, used]
+        own = q[:, hit]
+        z = np.einsum("dn,dnk->nk", own, vec[:, at]) + (self.word_bias[used] - np.log(NOISE_IN * v.slot_share[used]))[at]
+        push = -_sigmoid(z)
+        push[:, 0] += 1
+        flat = at.ravel()
+        grad = np.stack([np.bincount(flat, (push * x[:, None]).ravel(), len(used)) for x in own])
+        for p, s, g in ((self.word, squares[4], grad), (self.word_bias, squares[5], np.bincount(flat, push.ravel(), len(used)))):
+            part, square = p[..., used], s[..., used]
+            _step(part, square, g, rate, len(tokens))
+            p[..., used], s[..., used] = part, square
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by (word before, word), (second before, word), biases, and the log normaliser of each context, by matrix products."""
+        """Scores by (class before, class), (second before, class), biases, and the log normaliser of each context, by matrix products."""
         one, two = (self.before.T @ self.out).astype(np.float32), (self.second.T @ self.out).astype(np.float32)
         bias = self.bias.astype(np.float32)
         norm = np.empty(one.shape, np.float32)
@@ -202,36 +263,104 @@ class Model:
         return one, two, bias, norm
 
 
-def _streams(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple[np.ndarray, ...]]:
-    for b in batches:
-        for lo, hi, _, _ in column_slices(b.column(0)):
-            docs = [_split(t) for t in b.column(0).slice(lo, hi - lo).to_pylist()]
-            yield v.stream(v.encode(list(chain.from_iterable(docs)))[1], np.fromiter(map(len, docs), np.int64, len(docs)))
+def within(tokens: np.ndarray, one: np.ndarray, two: np.ndarray, v: Vocabulary, m: Model) -> np.ndarray:
+    """Log probability of each token in its class, class by class in matrix products; 0 where a class is one word or the end."""
+    out = np.zeros(len(tokens))
+    hit = np.flatnonzero((tokens >= v.own) & (tokens < v.end))
+    k = v.class_of[tokens[hit]] - v.own
+    order = np.argsort(k, kind="stable")
+    hit, k = hit[order], k[order]
+    edges = np.searchsorted(k, np.arange(v.endings + 1))
+    before, second, word, bias = (x.astype(np.float32) for x in (m.before, m.second, m.word, m.word_bias))
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        span = slice(v.class_at[c], v.class_at[c + 1])
+        for a in range(edges[c], edges[c + 1], BATCH):
+            at = hit[a : min(a + BATCH, edges[c + 1])]
+            q = np.take(before, one[at], axis=1) + np.take(second, two[at], axis=1)
+            z = q.T @ word[:, span] + bias[span]
+            norm = np.log(np.exp(z).sum(1, dtype=np.float64))
+            out[at] = z[np.arange(len(at)), v.slot_of[tokens[at] - v.own] - v.class_at[c]] - norm
+    return out
+
+
+def _shards(train: DataFrame, v: Vocabulary) -> DataFrame:
+    """A written table of token codes: one row a shard, or several where a shard is longer. ``train``: doc_id, text."""
+    shared = train.sparkSession.sparkContext.broadcast(v)
+    n = max(1, -(-v.tokens // SHARD))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for b in batches:
+            for lo, hi, _, _ in column_slices(b.column(3)):
+                docs = [_split(t) for t in b.column(3).slice(lo, hi - lo).to_pylist()]
+                sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+                codes = v.stream(v.encode(list(chain.from_iterable(docs)))[1], sizes)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes + 1)), pa.int32()), pa.array(codes, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), lists], ["shard", "doc_id", "key", "codes"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        now, size = None, 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.concatenate(held)], pa.list_(pa.int32()))], ["shard", "codes"])
+
+        for b in batches:
+            for shard, codes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if held and (shard != now or size >= 2 * SHARD):
+                    yield out()
+                    held, size = [], 0
+                now = shard
+                held.append(codes.values.to_numpy())
+                size += len(held[-1])
+        if held:
+            yield out()
+
+    keyed = train.select(F.col("doc_id"), F.xxhash64("text").alias("key"), "text")
+    keyed = keyed.select(F.pmod(F.xxhash64("doc_id", "key", F.lit("shard")), F.lit(n)).cast("int").alias("shard"), "doc_id", "key", "text")
+    rows = keyed.mapInArrow(encode, "shard int, doc_id long, key long, codes array<int>")
+    rows = rows.repartitionById(min(n, 2048), F.pmod("shard", F.lit(min(n, 2048)))).sortWithinPartitions("shard", "doc_id", "key").select("shard", "codes")
+    return materialize(rows.mapInArrow(join, "shard int, codes array<int>"))
 
 
 def _fit(train: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Each partition trains on all its text; the models are averaged, weighted by text, on the executors."""
-    spark = train.sparkSession
-    freq = v.code_frequencies()
-    model = Model.start(freq)
-    shared = spark.sparkContext.broadcast(v)
+    """Each shard trains on all its text from the common model; the models are averaged, weighted by text, on the executors."""
+    context = train.sparkSession.sparkContext
+    model = Model.start(v)
+    if not v.tokens:
+        return model
+    shards = _shards(train, v)
+    shared = context.broadcast(v)
     names = [f"v{i}" for i in range(3 * DIM + 1)]
+    classes, slots = v.classes, len(v.slots)
     for k in range(rounds):
-        now = spark.sparkContext.broadcast(model)
+        now = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:
-            m, words = now.value, shared.value
-            own = Model(*(x.copy() for x in (m.before, m.second, m.out, m.bias)))
-            n = own.train(_streams(batches, words), words.code_frequencies(), 0.1 / (k + 1), k)
-            if n:
-                rows = np.vstack([own.before, own.second, own.out, own.bias[None]]) * n
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows.shape[1]), pa.int32()), pa.array(np.full(rows.shape[1], float(n))), *map(pa.array, rows)], ["code", "n", *names])
-
-        got = train.select("text").mapInArrow(run, "code int, n double, " + ", ".join(f"{c} double" for c in names))
-        got = got.groupBy("code").agg(*((F.sum(c) / F.sum("n")).alias(c) for c in names)).orderBy("code").toPandas()
-        if len(got):
-            x = got[names].to_numpy().T
-            model = Model(x[:DIM].copy(), x[DIM : 2 * DIM].copy(), x[2 * DIM : 3 * DIM].copy(), x[-1].copy())
+            v, total, n = shared.value, None, 0
+            for b in batches:
+                for shard, codes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    own = Model(*(x.copy() for x in now.value.parts()))
+                    tokens = codes.values.to_numpy().astype(np.int64)
+                    pieces = (tokens[i : i + (1 << 17)] for i in range(0, len(tokens), 1 << 17))
+                    size = own.train(pieces, v, 0.1 / (k + 1), shard * rounds + k)
+                    total = [x * size if total is None else t + x * size for t, x in zip(total or own.parts(), own.parts(), strict=True)]
+                    n += size
+            if n:  # rows of classes, then of words: three vectors and a bias, or one of each
+                top = np.vstack([total[0], total[1], total[2], total[3][None]])
+                low = np.zeros((len(top), slots))
+                low[:DIM], low[-1] = total[4], total[5]
+                rows = np.hstack([top, low])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes + slots), pa.int32()), pa.array(np.full(classes + slots, float(n))), *map(pa.array, rows)], ["code", "n", *names])
+
+        got = shards.select("shard", "codes").mapInArrow(run, "code int, n double, " + ", ".join(f"{c} double" for c in names))
+        got = got.groupBy("code").agg(*((F.sum(c) / F.sum("n")).alias(c) for c in names)).toPandas().sort_values("code")
+        x = got[names].to_numpy().T
+        top, low = x[:, :classes], x[:, classes:]
+        model = Model(*(np.ascontiguousarray(p) for p in (top[:DIM], top[DIM : 2 * DIM], top[2 * DIM : 3 * DIM], top[-1], low[:DIM], low[-1])))
+        now.destroy()
+    shared.destroy()
+    discard(shards)
     return model
 
 
@@ -241,9 +370,12 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     Tokens are the words of the text with A-Z lower-cased, and one end. Counts come from
     the documents that are not held out, all of them. ``base_score`` adds up
     log10((c + 1) / (N + V + 1)). ``score`` is log10 of the model's probability: a
-    softmax over frequent words, classes of other words by ending, and the end, given the
-    two codes before, times the word's smoothed share of its class; so each context's
-    probabilities add up to one, unseen words of a class together taking one more count.
+    softmax over classes (frequent words, endings of the other words, the end) given the two
+    classes before, times a softmax over the words of the class, which has one place for
+    all words without a vector; such a word takes its smoothed share of it. So each
+    context's probabilities add up to one, unseen words of a class together taking one more
+    count. All words seen SEEN times have a vector, up to HEAD, so the model grows with the
+    corpus to that bound. The scores of a corpus do not depend on how its rows are laid out.
 
     Executors hold at most HEAD counts; other words' counts are joined. Null counts as
     the empty text, which has an end only. Without training text both scores are of an
@@ -256,13 +388,12 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     counts = materialize(word_counts(train))
     v, others = vocabulary(counts, train.count())
     model = _fit(train, v)
-    shared, tables = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(model.tables())
+    shared, fitted = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast((model, model.tables()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (one, two, bias, norm) = shared.value, tables.value
+        v, (model, (by_one, by_two, bias, norm)) = shared.value, fitted.value
         logs = np.concatenate((np.log10(v.counts + 1.0), [0.0]))
-        den = np.zeros(v.size)
-        den[v.own : v.end] = np.log10(v.class_size + v.class_words + 1.0)
+        den = np.log10(v.rest_count + v.rest_words + 1.0)
         end_log, all_log = np.log10(v.ends + 1.0), np.log10(v.tokens + v.distinct + 1.0)
         for b in batches:
             for lo, hi, _, _ in column_slices(b.column(1)):
@@ -270,8 +401,10 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 sizes = np.fromiter(map(len, docs_), np.int64, len(docs_))
                 words = list(chain.from_iterable(docs_))
                 at, codes = v.encode(words)
-                w, c1, c2, first = v.stream(codes, sizes)
-                model = np.add.reduceat((one[c1, w] + two[c2, w] + bias[w] - norm[c1, c2]).astype(np.float64), first) / _LN10
+                tokens = v.stream(codes, sizes)
+                w, c1, c2 = v.contexts(tokens)
+                each = (by_one[c1, w] + by_two[c2, w] + bias[w] - norm[c1, c2]).astype(np.float64) + within(tokens, c1, c2, v, model)
+                score = np.add.reduceat(each, np.cumsum(sizes + 1) - sizes - 1) / _LN10
                 known = logs[at]  # the last entry, 0, stands for words outside the head
                 place = np.append(0, np.cumsum(sizes))
                 total = lambda x, place=place: np.diff(np.append(0.0, np.cumsum(x))[place])
@@ -281,11 +414,14 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                     tails[d][words[i]] += 1
                 tail = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(tails)), pa.binary()).cast(pa.string()), pa.array(list(chain.from_iterable(t.values() for t in tails)), pa.int32())], ["word", "tf"])
                 offsets = pa.array(np.append(0, np.cumsum([len(t) for t in tails])).astype(np.int32))
+                share = np.zeros(len(codes))
+                rest = codes >= v.vectors
+                share[rest] = known[rest] - den[codes[rest] - v.vectors]
                 cols = [
                     pa.array(sizes + 1),
                     pa.array(total(at >= 0).astype(np.int64) + (v.ends > 0)),
                     pa.array(total(known) + end_log - (sizes + 1) * all_log),
-                    pa.array(model + total(np.where(codes >= v.own, known - den[codes], 0.0))),
+                    pa.array(score + total(share)),
                     pa.ListArray.from_arrays(offsets, tail),
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *cols], ["doc_id", "n_tokens", "n_known", "base", "model", "tail"])

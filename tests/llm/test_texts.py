@@ -178,12 +178,30 @@ def test_lm_scores(spark):
 
 
 def test_lm_is_normalised():
-    v = lm.Vocabulary({b"a": 0, b"b": 1}, np.array([5, 3]), np.array([0, 1]), 2, np.zeros(lm.ENDINGS, np.int64), np.zeros(lm.ENDINGS, np.int64), 12, 3, 4)
-    m = lm.Model.start(v.code_frequencies())
-    m.train(iter([v.stream(np.array([0, 1, 0, 1] * 50), np.full(50, 4))]), v.code_frequencies(), 0.1, 0)
+    words = [b"a", b"b", b"cx", b"dy", b"ez"]
+    tails = np.array([lm.ending(w) % 4 for w in words[2:]])
+    v = lm.Vocabulary({w: i for i, w in enumerate(words)}, np.array([50, 30, 20, 9, 8]), 2, 4, tails, np.array([3, 0, 1, 0]), np.array([2, 0, 1, 0]), 125, 9, 4)
+    m = lm.Model.start(v)
+    tokens = v.stream(np.array([0, 1, 2, 1] * 50 + [3, 0, v.vectors, 4] * 10), np.full(60, 4))
+    m.train(iter([tokens]), v, 0.1, 0)
     one, two, bias, norm = m.tables()
     assert np.allclose(np.exp(one[:, None, :] + two[None, :, :] + bias - norm[:, :, None]).sum(2), 1, atol=1e-4)
     assert one[0, 1] > one[0, 0]
+    for c in range(4):  # the places of a class add up to 1 in any context
+        codes = np.array([i for i in range(v.own, v.end) if v.class_of[i] == v.own + c])
+        p = np.exp(lm.within(codes, np.full(len(codes), 1), np.full(len(codes), 0), v, m)).sum()
+        assert abs(p - 1) < 1e-5
+    assert not lm.within(np.array([0, v.end]), np.array([0, 0]), np.array([0, 0]), v, m).any()
+
+
+def test_lm_does_not_depend_on_the_layout(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 30_000)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    runs = [{r.doc_id: r for r in lm.score(docs.repartition(n)).collect()} for n in (1, 7)]
+    assert runs[0].keys() == runs[1].keys()
+    assert max(abs(runs[0][k].score - runs[1][k].score) / abs(runs[0][k].score) for k in runs[0]) < 1e-6
+    held = [r for r in runs[0].values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) > 0
 
 
 # --- quality ----------------------------------------------------------------------------------
