@@ -181,8 +181,9 @@ def test_decontamination_odd_tables(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in got] == [(2, 0, False)] * 2
 
 
-@pytest.mark.parametrize("window,anchor", [(20, 8), (5, 3)])
-def test_substrings_are_brute_force(spark, window, anchor):
+@pytest.mark.parametrize("window,anchor,hot", [(20, 8, 4096), (5, 3, 4096), (5, 3, 1)])
+def test_substrings_are_brute_force(spark, monkeypatch, window, anchor, hot):
+    monkeypatch.setattr(substring, "HOT", hot)  # 1: every repeated anchor is dealt out by window
     rng = random.Random(window)
     texts = [words(rng, rng.randrange(0, 80), 3 if i % 3 else 500) for i in range(30)]
     shared = words(rng, 60, 900)
@@ -194,11 +195,13 @@ def test_substrings_are_brute_force(spark, window, anchor):
 
 def test_substring_spans_and_odd_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
-    got = substring.remove_repeats(docs_of(spark, [text, text, f"x {text}"], [4, 4, None])).collect()
+    other = " ".join(f"v{i}" for i in range(40))
+    got = substring.remove_repeats(docs_of(spark, [text, text, f"x {text}", other, f"{other} {text}"], [4, 4, None, None, 4])).collect()
     by = {r.n_words: r for r in got}
     assert by[31].doc_id is None and by[31].n_removed == 0  # a null id comes first
-    assert all(r.n_removed == 30 for r in got if r.doc_id == 4)
-    span = next(r for r in got if r.doc_id == 4).spans
+    assert by[40].n_removed == 0 and by[70].n_removed == 70  # rows with one id, or without one, are documents of their own
+    assert all(r.n_removed == 30 for r in got if r.n_words == 30)
+    span = next(r for r in got if r.n_words == 30).spans
     assert [(s.start, s.words, s.ref_start) for s in span] == [(0, 30, 1)]
     assert substring.remove_repeats(docs_of(spark, [])).count() == 0
 
