@@ -28,6 +28,20 @@ def unescape(text: str) -> str:
     return text.replace("&gt;", ">").replace("&lt;", "<").replace("&amp;", "&")
 
 
+#: Most tokens that an attachment, or a turn, counts.
+MOST_TOKENS = 1 << 62
+
+
+def _amount(x: object) -> int | float:
+    """A finite number of at least 0; 0 for anything else."""
+    return max(0, x) if isinstance(x, (int, float)) and (isinstance(x, int) or math.isfinite(x)) else 0
+
+
+def _text(x: object) -> str:
+    """A string that UTF-8 can hold: half surrogates become U+FFFD."""
+    return ("" if x is None else x if isinstance(x, str) else str(x)).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 @dataclass
 class Flattened:
     """Parts of one turn as text with placeholders."""
@@ -45,7 +59,8 @@ class Flatten:
     audio: {"type": "audio", "ref", "seconds"}; document: {"type": "document", "ref",
     "pages"}. An attachment leaves a placeholder ``<kind n>``, n counting attachments of
     the turn from 0, and is recorded with its reference and the tokens that it expands to.
-    A part of another kind, or without a kind, keeps its JSON as text.
+    A part of another kind, or without a kind, keeps its JSON as text. Sizes that are no
+    finite numbers of at least 0 count as missing, and counts end at MOST_TOKENS.
     """
 
     def __init__(self, tile: int = 14, audio_per_second: float = 25.0, per_page: int = 256) -> None:
@@ -59,20 +74,20 @@ class Flatten:
         return out
 
     def visit_text(self, part: dict, out: Flattened) -> None:
-        self._text(str(part.get("text") or ""), out)
+        self._text(_text(part.get("text")), out)
 
     def visit_other(self, part: object, out: Flattened) -> None:
-        self._text(part if isinstance(part, str) else json.dumps(part, ensure_ascii=False, sort_keys=True), out)
+        self._text(_text(part if isinstance(part, str) else json.dumps(part, ensure_ascii=False, sort_keys=True)), out)
 
     def visit_image(self, part: dict, out: Flattened) -> None:
-        tiles = math.ceil((part.get("width") or 0) / self.tile) * math.ceil((part.get("height") or 0) / self.tile)
+        tiles = math.prod(-int(-_amount(part.get(side)) // self.tile) for side in ("width", "height"))
         self._attach("image", part, max(1, tiles), out)
 
     def visit_audio(self, part: dict, out: Flattened) -> None:
-        self._attach("audio", part, max(1, math.ceil((part.get("seconds") or 0) * self.audio_per_second)), out)
+        self._attach("audio", part, max(1, math.ceil(min(_amount(part.get("seconds")), MOST_TOKENS) * self.audio_per_second)), out)
 
     def visit_document(self, part: dict, out: Flattened) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 1) * self.per_page, out)
+        self._attach("document", part, max(1, math.ceil(_amount(part.get("pages")))) * self.per_page, out)
 
     def _text(self, text: str, out: Flattened) -> None:
         safe = escape(text)
@@ -80,9 +95,10 @@ class Flatten:
         out.body += safe
 
     def _attach(self, kind: str, part: dict, tokens: int, out: Flattened) -> None:
+        tokens = min(tokens, MOST_TOKENS)
         out.body += f"<{kind} {len(out.attachments)}>"
-        out.attachments.append({"kind": kind, "ref": str(part.get("ref") or ""), "tokens": tokens})
-        out.extra_tokens += tokens
+        out.attachments.append({"kind": kind, "ref": _text(part.get("ref")), "tokens": tokens})
+        out.extra_tokens = min(out.extra_tokens + tokens, MOST_TOKENS)
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -109,7 +125,7 @@ def format_turns(turns: DataFrame, parts: str | None = None, learnt: str = LEARN
             for role, text, listed in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 try:
                     given = json.loads(listed) if listed else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     given = None
                 flat = visitor.visit(given if isinstance(given, list) else [{"type": "text", "text": text}])
                 head = f"<turn {escape(role)}>\n"
@@ -128,18 +144,36 @@ def join_turns(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("conv_id").agg(F.array_join(F.transform(order, lambda t: t["formatted"]), "").alias("formatted"))
 
 
-_PIECE = re.compile(r"<turn ([^<>]*)>\n((?:[^<]|<(?:image|audio|document) \d+>)*)</turn>\n")
+_PLACEHOLDER = re.compile(r"<(image|audio|document) (\d+)>")
 
 
-def parse_piece(formatted: str) -> tuple[str, str]:
-    """(role, text) of a formatted turn; placeholders stay in the text."""
-    m = _PIECE.fullmatch(formatted) if len(formatted) < 1 << 16 else None
-    if m:
-        return unescape(m[1]), unescape(m[2])
+def split_piece(formatted: str) -> tuple[str, str]:
+    """(role, body as it is in the template) of a formatted turn."""
     head, found, rest = formatted.partition(">\n")
-    if not found or not head.startswith("<turn ") or not rest.endswith("</turn>\n") or "<turn" in rest:
+    if not found or not head.startswith("<turn ") or not rest.endswith("</turn>\n") or "<" in head[1:] or "<" in _PLACEHOLDER.sub("", rest[:-8]):
         raise ValueError("not a formatted turn")
-    return unescape(head[6:]), unescape(rest[:-8])
+    return unescape(head[6:]), rest[:-8]
+
+
+def parse_piece(formatted: str) -> tuple[str, str]:
+    """(role, text) of a formatted turn. A turn with attachments has its body as it is in the template, so that a placeholder is no text."""
+    role, body = split_piece(formatted)
+    return role, body if "<" in body else unescape(body)
+
+
+def parse_parts(formatted: str, attachments: list[dict]) -> tuple[str, list[dict]]:
+    """(role, parts) of a formatted turn: the inverse of the visitor, texts joined between attachments."""
+    role, body = split_piece(formatted)
+    parts, at = [], 0
+    for m in _PLACEHOLDER.finditer(body):
+        if m.start() > at:
+            parts.append({"type": "text", "text": unescape(body[at : m.start()])})
+        a = attachments[int(m[2])]
+        parts.append({"type": m[1], "ref": a["ref"], "tokens": a["tokens"]})
+        at = m.end()
+    if at < len(body):
+        parts.append({"type": "text", "text": unescape(body[at:])})
+    return role, parts
 
 
 def read_back(pieces: DataFrame) -> DataFrame:

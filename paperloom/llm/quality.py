@@ -91,11 +91,12 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.odds(x.astype(np.float64)), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 1500, batch: int = 1024, rate: float = 0.01) -> Classifier:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 1500, batch: int = 1024, rate: float = 0.01, plain: bool = False) -> Classifier:
     """Minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss l, by Adam.
 
     Where the second term of a batch is negative, the step goes back up on it instead, as
     in the method's large-scale form. Without positives every score is the prior.
+    ``plain`` tells positives from unlabelled rows instead, without a correction.
     """
     both = np.vstack([positive, unlabelled]) if len(unlabelled) else positive
     width = positive.shape[1]
@@ -119,6 +120,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         up, down = np.concatenate([prior * (sig(gp) - 1), np.zeros(batch)]), np.concatenate([-prior * sig(gp), sig(gu)])
         dg = (up + down if negative >= 0 else -down) / batch
+        if plain:
+            dg = np.concatenate([sig(gp) - 1, sig(gu)]) / batch
         dz = np.outer(dg, ws[2]) * (1 - z * z)
         grads = [x.T @ dz + 1e-4 * ws[0], dz.sum(0), z.T @ dg + 1e-4 * ws[2], np.array([dg.sum()])]
         lr = rate * min(1.0, 2 * (1 - t / (steps + 1)))
@@ -131,27 +134,47 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return model
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among unlabelled rows, by best bin estimation (Garg et al. 2021).
+
+    A classifier tells one half of the positives from one half of the unlabelled rows. In
+    the other halves, the part of each that scores above a threshold is compared: above a
+    threshold that only positives pass, unlabelled rows over positives is the share. The
+    threshold is the one with the least upper confidence bound of that ratio. Kept between
+    0.02 and 0.98; 0.5 where either kind has fewer than 20 rows.
+    """
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    model = fit(positive[::2], unlabelled[::2], 0.5, steps=600, plain=True)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    above = lambda x: 1 - np.searchsorted(x, p) / len(x)
+    share_p, share_u = above(p), above(u)
+    slack = np.sqrt(np.log(4 / delta) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+    best = np.argmin((share_u + slack) / share_p)
+    return float(min(0.98, max(0.02, share_u[best] / share_p[best])))
+
+
 def learn(table: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> Classifier:
     """Fit on a feature table: positives are labelled 1 in the training folds, unlabelled rows are any of those folds.
 
-    The class prior is the share of label 1 among the labelled rows of the training
-    folds, kept between 0.02 and 0.98. At most about ``sample`` rows of either kind,
-    chosen by a hash of the id, are used. A row with several labels has the least one.
+    The class prior is estimated from these two alone; labels 0 are not used. At most about
+    ``sample`` rows of either kind, chosen by a hash of the id and the features, are used. A
+    row with several labels has the least one.
     """
     mark = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"), folds, fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
-    n, good = mark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("good").cast("int")), F.lit(0))).first()
-    prior = min(0.98, max(0.02, good / n)) if n else 0.5
+    good = mark.where("good")
     width = FEATURES
 
     def some(df: DataFrame, have: int) -> np.ndarray:
         share = min(1.0, sample / max(have, 1))
-        keep = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
-        got = df.where(keep).select("doc_id", "x").limit(sample + sample // 5).toPandas().sort_values("doc_id", kind="stable")
-        return np.array(got["x"].tolist(), np.float64).reshape(-1, width)
+        keep = F.pmod(F.xxhash64("doc_id", "x", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
+        got = df.where(keep).select("doc_id", "x").toPandas()
+        rows = np.array(got["x"].tolist(), np.float64).reshape(-1, width)
+        return rows[np.lexsort((*rows.T, got["doc_id"].to_numpy(np.float64)))] if len(rows) else rows
 
     usable = table.where(~held_out(F.col("doc_id"), folds, fold))
-    return fit(some(usable.join(mark.where("good"), "doc_id", "left_semi"), good), some(usable, usable.count()), prior)
-
+    positive, unlabelled = some(usable.join(good, "doc_id", "left_semi"), good.count()), some(usable, usable.count())
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:

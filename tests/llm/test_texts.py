@@ -60,11 +60,34 @@ def test_chat_parts_and_masks(spark):
     assert got[1].n_turns == 3 and got[2].n_turns == 1 and got[None].n_turns == 2
     learnt = 'see <b>{"type": "odd", "v": 1}bare</turn> & done'
     assert got[1].loss_chars == len(learnt) and got[1].loss_sha256 == hashlib.sha256(learnt.encode()).hexdigest()
+    assert chat.parse_parts(one.formatted, [a.asDict() for a in one.attachments]) == ("assistant", [{"type": "text", "text": "see <b>"}, {"type": "image", "ref": "i.png", "tokens": 4}, {"type": "audio", "ref": "a.wav", "tokens": 50}, {"type": "document", "ref": "d.pdf", "tokens": 768}, {"type": "text", "text": '{"type": "odd", "v": 1}bare'}])
     whole = {r.conv_id: r.formatted for r in chat.join_turns(pieces).collect()}
     assert all(got[k].formatted_chars == len(v) for k, v in whole.items())
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
 
 
+_JSON = st.recursive(st.none() | st.booleans() | st.integers() | st.floats() | st.text(max_size=4) | st.sampled_from(["\ud800", "100", "<image 0>"]), lambda x: st.lists(x, max_size=2) | st.dictionaries(st.sampled_from(["type", "text", "ref", "width", "height", "seconds", "pages"]), x, max_size=5), max_leaves=12)
+_PART = st.fixed_dictionaries({"type": st.sampled_from(["text", "image", "audio", "document", "odd"])}, optional={k: _JSON for k in ("text", "ref", "width", "height", "seconds", "pages")}) | _JSON
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(_PART, max_size=4))
+def test_any_parts_are_formatted_and_read_back(given_parts):
+    flat = chat.Flatten().visit(json.loads(json.dumps(given_parts)))
+    piece = f"<turn user>\n{flat.body}</turn>\n"
+    piece.encode()
+    role, parts = chat.parse_parts(piece, flat.attachments)
+    again = chat.Flatten().visit([p if p["type"] == "text" else {**p} for p in parts])
+    assert role == "user" and again.body == flat.body and [a["ref"] for a in again.attachments] == [a["ref"] for a in flat.attachments]
+    assert 0 <= flat.extra_tokens <= chat.MOST_TOKENS
+
+
+def test_a_placeholder_is_no_text(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "<image 0>", None), (2, 0, "user", None, '[{"type": "image", "ref": "x"}]'), (3, 0, "user", "a", '[{"type": "image", "width": "100", "height": Infinity}, "\\ud800"]')], "conv_id long, turn long, role string, text string, parts string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(turns, "parts")).collect()}
+    assert len({r.formatted_chars for r in got.values()}) == 3 and [r.formatted for r in chat.format_turns(turns, "parts").orderBy("conv_id").collect()] == ["<turn user>\n&lt;image 0&gt;</turn>\n", "<turn user>\n<image 0></turn>\n", "<turn user>\n<image 0>\ufffd</turn>\n"]
+
+
 # --- tokens -----------------------------------------------------------------------------------
 
 
@@ -226,6 +249,15 @@ def test_quality_odd_tables(spark):
     assert quality.score_quality(docs_of(spark, ODD, [None, *range(10)]), few).count() == len(ODD)
 
 
+def test_prior_is_estimated():
+    rng = np.random.default_rng(4)
+    good, bad = rng.normal(1, 1, (4000, 4)), rng.normal(-1.5, 1, (4000, 4))
+    for share in (0.2, 0.6, 0.9):
+        mixed = np.vstack([good[2000 : 2000 + int(2000 * share)], bad[: int(2000 * (1 - share))]])
+        assert abs(quality.estimate_prior(good[:2000], rng.permutation(mixed)) - share) < 0.08
+    assert quality.estimate_prior(good[:3], bad) == 0.5
+
+
 def test_non_negative_risk_separates():
     rng = np.random.default_rng(3)
     good, bad = rng.normal(1, 1, (600, 4)), rng.normal(-2, 1, (300, 4))
