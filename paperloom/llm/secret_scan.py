@@ -11,11 +11,20 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A run of at least 16 letters, digits and + / _ - with a digit in it, and the = that pad it.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: Names that secrets are assigned to.
+KEYWORDS = "passw(?:or)?d|passphrase|pwd|secret|token|api.?key|access.?key|private.?key|client.?key|auth(?:orization)?|bearer|credentials?"
+#: What may be a secret: a private key block; a dotted web token; any value of six characters
+#: or more that is assigned to such a name; and a run of at least 16 letters, digits and
+#: + / _ - with a digit in it, and the = that pad it.
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+    rf"|(?<=[=: \t\"'`])(?<=(?i:{KEYWORDS})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,2}}[:=]{{1,2}}[ \t]{{0,2}}[\"'`]?)[^\s\"'`,;<>]{{6,256}}+"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+)
 LEFT, RIGHT = 48, 24
 REDACTED = "[SECRET]"
-FINDINGS, TREES, DEPTH, SEED = 6000, 15, 5, 7
+FINDINGS, TREES, DEPTH, SEED = 9000, 21, 7, 7
 #: Words of names, paths and placeholders, which secrets are not made of.
 DICTIONARY = (
     "account admin apple archive article build cache class client code color config configuration content count create data date default delete department demo design "
@@ -24,11 +33,11 @@ DICTIONARY = (
     "project public python query release report request resource result sample schema search section server service session simple source spring start state static "
     "status store string style summer support system table template test text time title tree type update upload user value version video view water window winter world your"
 ).split()
-FEATURES = ("size", "digits", "uppers", "lowers", "marks", "turns", "kinds", "hex", "known", "slashes", "pathlike", "keyword", "assigned", "quoted", "benign", "holder", "only_digits")
+FEATURES = ("size", "digits", "uppers", "lowers", "marks", "turns", "kinds", "hex", "known", "slashes", "pathlike", "keyword", "assigned", "quoted", "benign", "holder", "only_digits", "others", "calls", "words", "key_block")
 
 
 def _share(text: Column, keep: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{keep}]", "")) / F.greatest(F.length(text), F.lit(1))
+    return F.length(F.regexp_replace(text, f"[{keep[1:]}]" if keep[0] == "^" else f"[^{keep}]", "")) / F.greatest(F.length(text), F.lit(1))
 
 
 def features(left: Column, found: Column, right: Column) -> list[Column]:
@@ -48,17 +57,21 @@ def features(left: Column, found: Column, right: Column) -> list[Column]:
         1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
         F.length(F.regexp_replace(found, "[^/]", "")).cast("double"),
         flag(left.rlike(r"[/.\\~]$") | right.rlike(r"^(\.[a-z]{1,5}\b|/)")),
-        flag(before.rlike(r"(token|secret|passw|pwd|api.?key|access.?key|private.?key|client.?key|auth|bearer|credential)[a-z_]*[^a-z0-9]{0,6}$")),
+        flag(before.rlike(rf"({KEYWORDS})[a-z_]*[^a-z0-9]{{0,6}}$")),
         flag(left.rlike("[=:]\\s*[\"'`]?$")),
         flag(left.rlike("[\"'`]$") & right.rlike("^[\"'`]")),
         flag(before.rlike(r"(commit|sha-?[0-9]*|md5|checksum|digest|uuid|guid|revision|rev|version|hash|etag|build|order|invoice|phone|card)[^a-z0-9]{0,4}$")),
         flag(low.rlike("example|sample|dummy|placeholder|changeme|your|x{5,}|0{6,}|123456|abcdef")),
         flag(found.rlike("^[0-9]+$")),
+        _share(found, r"^A-Za-z0-9+/_=\s-"),
+        flag(found.rlike(r"[({\[]|^[a-z_]+(\.[a-z_]+)+$|^\$|^%|->|::")),
+        flag(found.rlike(r"^[A-Z]?[a-z]{2,}([._ -][a-z]{2,})*[.!?)]*$|^[A-Z_]{2,}$")),
+        flag(found.rlike("PRIVATE KEY-----$|^eyJ[A-Za-z0-9_-]+[.]")),
     ]
 
 
 def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """(left, found, right, label): findings of twelve kinds made by rule from hashes of their numbers, half of them secrets."""
+    """(left, found, right, label, id): findings of eighteen kinds made by rule from hashes of their numbers, half of them secrets."""
     part = lambda name: F.sha2(F.concat(F.col("id").cast("string"), F.lit(name)).cast("binary"), 256)
     hexes, noise = part("a"), F.regexp_replace(F.base64(F.unhex(part("b"))), "=", "")
     alnum = F.regexp_replace(F.concat(noise, F.regexp_replace(F.base64(F.unhex(part("e"))), "=", "")), "[+/]", "")
@@ -70,7 +83,17 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     names = pick("n", "token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "private_key", "TOKEN", "API_KEY", "Secret")
     titled = lambda i: F.element_at(F.array(*(F.lit(w) for w in DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(f"d{i}")), F.lit(len(DICTIONARY))) + 1).cast("int"))
     set_to = F.concat(word, names, sign, quote)
+    letters = F.translate(hexes, "0123456789abcdef", "QwErTyUiOpAsDfGh")
+    plain = pick("v", "string", "null", "none", "undefined", "required", "optional", "changed", "expired", "invalid", "missing", "something", "nothing", "whatever", "because", "they", "which", "people", "authentication", "management", "reset", "forgotten", "protected", "your-password", "password", "enabled", "true", "false", "economics")
+    called = pick("v2", "getpass.getpass()", "os.environ[", "request.headers.get(", "config.password", "self.token", "settings.SECRET_KEY", "${DB_PASSWORD}", "$TOKEN", "%s", "{token}", "user.password_hash", "get_secret(", "None)", "str(value)", "args.token")
+    marked = F.concat(F.substring(letters, 3, 3), pick("m", "!", "@", "#", "$", "%", "&", "*", "?", "-", "_"), F.substring(digits, 3, pick("l2", 2, 3, 4).cast("int")), F.substring(letters, 11, 3), pick("m2", "!", "", "$", "^", "+", ""))
     kinds = [
+        (set_to, F.concat(F.initcap(titled(5)), F.substring(digits, 2, pick("l3", 2, 3, 4).cast("int")), pick("m3", "!", "#", "$", "", "@", "?")), quote, 1),
+        (set_to, marked, quote, 1),
+        (set_to, F.substring(letters, 1, pick("l4", 12, 16, 20, 24, 32).cast("int")), quote, 1),
+        (F.concat(word, pick("k", "", "jwt: ", "Cookie: session=", "token=")), F.concat(F.lit("eyJ"), F.substring(alnum, 1, 20), F.lit("."), F.substring(noise, 4, 30), F.lit("."), F.substring(alnum, 20, 30)), quote, 1),
+        (set_to, plain, pick("r2", "", " ", ".", '"', ","), 0),
+        (set_to, called, pick("r3", "", ")", '"', "\n"), 0),
         (set_to, F.substring(hexes, 1, 40), quote, 1),
         (F.concat(word, pick("k", "aws_access_key_id", "AWS_ACCESS_KEY_ID", "access_key"), sign, quote), F.concat(F.lit("AKIA"), F.upper(F.concat(F.substring(digits, 1, 5), F.substring(alnum, 3, 11)))), quote, 1),
         (F.concat(word, pick("k", "GITHUB_TOKEN", "token", "Authorization", "clone"), pick("s2", "=", ": ", " ", "://"), quote), F.concat(pick("p", "ghp_", "gho_", "glpat-", "npm_"), F.concat(F.lit("7"), F.substring(alnum, 2, 35))), quote, 1),
@@ -86,9 +109,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     ]
     kind = F.pmod(F.col("id"), F.lit(len(kinds)))
     choose = lambda i, t: F.coalesce(*(F.when(kind == k, (row[i] if isinstance(row[i], Column) else F.lit(row[i])).cast(t)) for k, row in enumerate(kinds)))
-    made = spark.range(0, n, 1, 4).select(choose(0, "string").alias("left"), choose(1, "string").alias("found"), choose(2, "string").alias("right"), choose(3, "double").alias("label"), (F.pmod(F.xxhash64("id", F.lit("case")), F.lit(8)) == 0).alias("loud"))
+    made = spark.range(0, n, 1, 4).select(choose(0, "string").alias("left"), choose(1, "string").alias("found"), choose(2, "string").alias("right"), choose(3, "double").alias("label"), "id", (F.pmod(F.xxhash64("id", F.lit("case")), F.lit(8)) == 0).alias("loud"))
     up = lambda c: F.when(F.col("loud"), F.upper(c)).otherwise(F.col(c)).alias(c)
-    return made.select(up("left"), up("found"), "right", "label")
+    return made.select(up("left"), up("found"), "right", "label", "id")
 
 
 @dataclass
