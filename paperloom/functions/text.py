@@ -101,18 +101,19 @@ def fuzz_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_percent(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-@F.pandas_udf(T.IntegerType())
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """F8: best ratio among the shared words and each side's shared words with its own."""
+def _set_percent(x: str | None, y: str | None) -> int:
+    """Best ratio among the shared words and each side's shared words with its own."""
+    p, q = set((x or "").lower().split()), set((y or "").lower().split())
+    both = " ".join(sorted(p & q))
+    left, right = f"{both} {' '.join(sorted(p - q))}".strip(), f"{both} {' '.join(sorted(q - p))}".strip()
+    pairs = [(left, right)] + ([(both, left), (both, right)] if both else [])
+    return max(_percent(u, v) for u, v in pairs)
 
-    def one(x: str | None, y: str | None) -> int:
-        p, q = set((x or "").lower().split()), set((y or "").lower().split())
-        both = " ".join(sorted(p & q))
-        left, right = f"{both} {' '.join(sorted(p - q))}".strip(), f"{both} {' '.join(sorted(q - p))}".strip()
-        pairs = [(left, right)] + ([(both, left), (both, right)] if both else [])
-        return max(_percent(u, v) for u, v in pairs)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+@F.pandas_udf(T.IntegerType())
+def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """F8: see ``_set_percent``."""
+    return pd.Series([_set_percent(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def normalise_context(text: Column) -> Column:
@@ -209,11 +210,14 @@ def workshop_name(title: Column) -> Column:
 
 
 def scrub(text: Column) -> Column:
-    """for topic models: ASCII only; years, brackets, punctuation and parts of et al. become blanks. Passes do not re-scan."""
+    """for topic models: ASCII only; years become blanks; brackets, commas and periods go; parts of et al. become blanks.
+
+    The passes are one after the other, and a pass does not look again at what it has put.
+    """
     text = F.regexp_replace(text, r"[^\x00-\x7F]", "")
-    for pattern in (" [0-9]{4} ", "-?[lr][rs]b-?", "[,.;]", " al[.] ", " al ", " et "):
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+    text = F.regexp_replace(text, " [0-9]{4} ", " ")
+    text = F.regexp_replace(text, r"-lrb-|-rrb-|-lsb-|-rsb-|,|\.", "")
+    return F.regexp_replace(text, " al. | al | et ", " ")
 
 
 def indirect_name(text: Column) -> Column:

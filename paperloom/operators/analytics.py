@@ -144,7 +144,16 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 
 def active_workshops(df: DataFrame) -> DataFrame:
-    """(name, prefixes, kind): names without digits or ordinals; One-off with one prefix, Long-Running with five or more."""
-    ordinals = "second|third|fourth|fifth|sixth|seventh"
-    named = df.where(~F.col("name").rlike("[0-9]") & ~F.lower("name").rlike(rf"\b({ordinals})\b"))
-    return named.groupBy("name").agg(F.countDistinct("prefix").alias("prefixes")).withColumn("kind", F.when(F.col("prefixes") == 1, "One-off").when(F.col("prefixes") >= 5, "Long-Running"))
+    """(prefix, name, kind) of workshops (line, name, prefixes).
+
+    A name with five different prefixes or more is Long-Running; of several with one
+    prefix the last line counts. A name with exactly one prefix is One-off, if it has
+    no digit and no ordinal from second to seventh in it, and its prefix is no
+    long-running one; of several the first line counts.
+    """
+    own = df.withColumn("prefixes", F.array_distinct("prefixes"))
+    of = lambda rows, pick: rows.select("line", "name", F.explode("prefixes").alias("prefix")).groupBy("prefix").agg(pick("name", "line").alias("name"))
+    long = of(own.where(F.size("prefixes") >= 5), F.max_by).withColumn("kind", F.lit("Long-Running"))
+    plain = ~F.col("name").rlike("[0-9]") & ~F.lower("name").rlike("second|third|fourth|fifth|sixth|seventh")
+    once = of(own.where((F.size("prefixes") == 1) & plain), F.min_by).withColumn("kind", F.lit("One-off"))
+    return long.unionByName(once.join(long, "prefix", "left_anti"))

@@ -25,13 +25,22 @@ def _numbers(**values: Column) -> Column:
 
 
 def verb_syntax(tokens: Column) -> Column:
-    """voice, tense letter and modal of the root verb, or ``no_verb_*``."""
-    root = F.get(F.filter(tokens, lambda t: F.coalesce(t["is_root"], F.lit(False)) & t["pos"].startswith("V")), F.lit(0))
-    one = lambda *names: F.map_from_arrays(F.array(*names), F.array(*(F.lit(1.0) for _ in names)))
-    passive = F.when(F.coalesce(root["is_pass"], F.lit(False)), F.lit("verb_is_passive")).otherwise(F.lit("verb_is_active"))
-    tense = F.concat(F.lit("verb_tense_"), F.coalesce(root["tense"], F.right(root["pos"], F.lit(1))))
-    modal = F.when(F.exists(tokens, lambda t: t["pos"] == "MD"), F.lit("verb_has_modal")).otherwise(F.lit("verb_has_no_modal"))
-    return F.when(root.isNotNull(), one(passive, tense, modal)).otherwise(one(*(F.lit(f"no_verb_for_{x}") for x in ("voice", "tense", "modal"))))
+    """voice, tense and modal of the root tokens, or ``no_verb_*`` where there is none.
+
+    A token gives its own marks only: ``is_pass``, ``tense`` where it has one, ``has_aux``.
+    """
+    one = lambda name: F.struct(name.alias("key"), F.lit(1.0).alias("value"))
+    yes = lambda mark: F.coalesce(mark, F.lit(False))
+
+    def marks(t: Column) -> Column:
+        voice = F.when(yes(t["is_pass"]), "verb_is_passive").otherwise("verb_is_active")
+        modal = F.when(yes(t["has_aux"]), "verb_has_modal").otherwise("verb_has_no_modal")
+        return F.array(one(voice), one(F.concat(F.lit("verb_tense_"), t["tense"])), one(modal))
+
+    roots = F.filter(tokens, lambda t: yes(t["is_root"]))
+    found = F.filter(F.array_distinct(F.flatten(F.transform(roots, marks))), lambda e: e["key"].isNotNull())
+    none = F.array(*(one(F.lit(f"no_verb_for_{x}")) for x in ("modal", "voice", "tense")))
+    return F.map_from_entries(F.when(F.size(found) > 0, found).otherwise(none))
 
 
 def sentence_level(contexts: DataFrame, sentences: DataFrame, tables: patterns.Tables = patterns.DEFAULT, custom: dict | None = None) -> DataFrame:
@@ -39,7 +48,7 @@ def sentence_level(contexts: DataFrame, sentences: DataFrame, tables: patterns.T
 
     contexts: citation_id, paper_id, cited_paper_id, cite, raw_string, is_self_cite, place;
     sentences: place, sec_title, sub_title, text, tokens (word, lemma, pos, ArgType, and
-    is_root, tense, is_pass where known; segment_span for clauses).
+    is_root, tense, is_pass, has_aux where known; segment_span for clauses).
     """
     keys = [F.col(c) for c in PLACE[:3]]
     s = positions.relative(sentences)

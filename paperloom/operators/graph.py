@@ -35,7 +35,8 @@ def pagerank(snaps: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
         state = base.join(rank, ["year", "node"])
         lost = state.where("deg IS NULL").groupBy("year").agg(F.sum("r").alias("lost"))
         given = snaps.join(state.where("deg IS NOT NULL").select("year", F.col("node").alias("src"), (F.col("r") / F.col("deg")).alias("g")), ["year", "src"]).groupBy("year", F.col("dst").alias("node")).agg(F.sum("g").alias("g"))
-        rank = materialize(base.join(given, ["year", "node"], "left").join(lost, "year", "left").select("year", "node", ((1 - alpha) / F.col("n") + alpha * (F.coalesce("g", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))).alias("r")))
+        rank = base.join(given, ["year", "node"], "left").join(lost, "year", "left").select("year", "node", ((1 - alpha) / F.col("n") + alpha * (F.coalesce("g", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) / F.col("n"))).alias("r"))
+        rank = materialize(rank)
     return rank.withColumnRenamed("r", "pagerank")
 
 
@@ -61,7 +62,9 @@ def load_centrality(snaps: DataFrame, max_depth: int = 100) -> DataFrame:
     """(year, node, load_centrality): the packets between all pairs that pass a node when each splits evenly over its shortest ways (Goh et al. 2001).
 
     Searches from all sources advance together, one level a join; then packets run back
-    level by level. Normalised by the ordered pairs of other nodes.
+    level by level. Normalised by the ordered pairs of other nodes. The state is a row for each
+    reached pair of a year, which the measure itself asks for, so it is meant for snapshots of
+    up to some hundred thousand nodes.
     """
     snaps = materialize(snaps)
     everyone = materialize(nodes(snaps))

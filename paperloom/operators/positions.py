@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,9 +53,14 @@ def connectors(df: DataFrame, keys: list[str], order: str, value: str, ahead: in
 
 
 def smoothed(df: DataFrame, keys: list[str], order: str, value: str, span: int) -> DataFrame:
-    """Exponentially weighted mean with adjusted weights, alpha = 2 / (span + 1)."""
+    """Exponentially weighted mean with adjusted weights, alpha = 2 / (span + 1).
+
+    Rows so far back that their weight is below the precision of a double are left out, so
+    the work for a row does not grow with its place.
+    """
     keep = 1 - 2.0 / (span + 1)
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    back = math.ceil(math.log(1e-18) / math.log(keep)) if keep > 0 else 0
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-back, 0)
     state = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
     return df.withColumn("ewm", F.aggregate(F.collect_list(F.col(value).cast("double")).over(w), state, lambda a, x: F.struct((a["s"] * keep + x).alias("s"), (a["n"] * keep + 1.0).alias("n")), lambda a: a["s"] / a["n"]))
 
@@ -66,6 +73,14 @@ def densify(df: DataFrame, keys: list[str], year: str, value: str, groups: list[
     return full.withColumn("_s", F.sum(value).over(Window.partitionBy(*keys, year))).where("_s > 0").drop("_s")
 
 
+def sorted_places(df: DataFrame, keys: list[str], value: str, **places: tuple[int, int]) -> DataFrame:
+    """For each name its sorted[num * n // den] of a group, found from counts per value, so no group is gathered."""
+    n = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = n.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy(value))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    at = lambda num, den: F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * num / den), F.col(value)))
+    return upto.groupBy(*keys).agg(*(at(*p).alias(name) for name, p in places.items()))
+
+
 def upper_median(values: Column) -> Column:
     """sorted[n // 2]."""
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..session import materialize
 from .components import connected_components
 
 
-def cascade(refs: DataFrame, papers: DataFrame) -> DataFrame:
+def cascade(refs: DataFrame, papers: DataFrame, order: str = "paper_id") -> DataFrame:
     """``refs`` (ref_id, title, year, authors) with the paper_id of the first key that hits.
 
     Keys: year with exact title and authors; with cleaned authors; with a squashed title
-    and cleaned authors. Of papers with one key the last id wins.
+    and cleaned authors. Of papers with one key the last in ``order`` (a column of ``papers``) wins.
     """
     clean = lambda c: F.array_sort(F.transform(c, tx.author_key))
     squash = lambda c: F.regexp_replace(tx.clean_title(c), " ", "")
@@ -26,7 +27,7 @@ def cascade(refs: DataFrame, papers: DataFrame) -> DataFrame:
     }
     out = refs
     for name, key in keys.items():
-        side = papers.groupBy(F.to_json(key()).alias(name)).agg(F.max("paper_id").alias(f"id_{name}"))
+        side = papers.groupBy(F.to_json(key()).alias(name)).agg(F.max_by("paper_id", order).alias(f"id_{name}"))
         out = out.withColumn(name, F.to_json(key())).join(side, name, "left").drop(name)
     return out.withColumn("paper_id", F.coalesce(*(f"id_{k}" for k in keys))).drop(*(f"id_{k}" for k in keys))
 
@@ -110,6 +111,7 @@ def external_ids(refs: DataFrame, pairs: DataFrame) -> DataFrame:
     comps = connected_components(pairs)
     rooted = refs.select("ref_id").join(comps.withColumnRenamed("node", "ref_id"), "ref_id", "left").withColumn("root", F.coalesce("root", "ref_id"))
     roots = rooted.select("root").distinct().repartitionByRange("root").withColumn("part", F.spark_partition_id())
+    roots = materialize(roots)  # a range shuffle that runs twice may cut its ranges elsewhere
     roots = roots.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("root")))
     sizes = roots.groupBy("part").agg(F.max("k").alias("size"))
     offset = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
@@ -157,13 +159,15 @@ def find_reference(cites: DataFrame, refs: DataFrame) -> DataFrame:
     return nth.where(F.when(F.col("letter") == "", F.col("z") == 1).otherwise(F.col("k") == want)).select("cite_id", "ref_id")
 
 
-def greedy_name_clusters(names: DataFrame, least: int = 80, least_set: int = 70) -> DataFrame:
-    """(name, cluster): names in order join the first cluster opened by a name like them.
+def greedy_name_clusters(names: DataFrame, least: int = 80, least_set: int = 70, block: str | None = None) -> DataFrame:
+    """(name, cluster): in order, each name that is in no cluster opens one and takes in all later ones like it.
 
-    The order is part of the result, so one block of names is one group; ``block`` must
-    keep groups small (a first letter, a year), as names of two blocks never meet.
+    Alike are names whose ratio is above ``least`` and whose token set ratio is above
+    ``least_set``. Each name is compared with the heads before it, so the order is part of
+    the result, and all names are one group: it is meant for venue names, of which a corpus has
+    thousands. ``block`` names a column that splits them where groups are known never to meet.
     """
-    from ..functions.text import _percent
+    from ..functions.text import _percent, _set_percent
     from ..session import ship_package
 
     ship_package(names.sparkSession)
@@ -172,12 +176,12 @@ def greedy_name_clusters(names: DataFrame, least: int = 80, least_set: int = 70)
         heads: list[str] = []
         out = []
         for n in sorted(f["name"]):
-            mine = set(n.lower().split())
-            head = next((h for h in heads if _percent(n, h) > least and 100 * len(mine & set(h.lower().split())) > least_set * min(len(mine), len(set(h.lower().split())) or 1)), None)
+            head = next((h for h in heads if _percent(h, n) > least and _set_percent(h, n) > least_set), None)
             if head is None:
                 heads.append(n)
                 head = n
             out.append((n, head))
         return pd.DataFrame(out, columns=["name", "cluster"])
 
-    return names.select("block", "name").distinct().groupBy("block").applyInPandas(run, "name string, cluster string")
+    own = names.select((F.col(block) if block else F.lit(0)).alias("block"), "name").where("name IS NOT NULL").distinct()
+    return own.groupBy("block").applyInPandas(run, "name string, cluster string")

@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import materialize
 
 
 def topic_contexts(sentences: DataFrame, citations: DataFrame) -> DataFrame:
@@ -31,15 +32,23 @@ def rare_and_common(words: DataFrame, common: int = 200, least: int = 2) -> Data
 
 
 def trim(docs: DataFrame, common: int = 200, least: int = 2) -> DataFrame:
-    """(id, words) without rare and common words, in order; DUMMY where none is left. ``docs``: id, words."""
-    tokens = docs.select("id", F.posexplode("words").alias("pos", "word"))
-    kept = tokens.join(rare_and_common(tokens, common, least), "word", "left_anti")
-    back = kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda s: s["word"]).alias("words"))
-    return docs.select("id").join(back, "id", "left").withColumn("words", F.coalesce("words", F.array(F.lit("DUMMY"))))
-
-
-def fit_topics(docs: DataFrame, topics: int = 100, rounds: int = 50, vocabulary: int = 1 << 16, seed: int = 7) -> PipelineModel:
-    """Counts and latent Dirichlet allocation (variational) over ``words``."""
+    """(id, words) without rare and common words, in order; DUMMY where none is left. ``docs``: id, words; each row gives one."""
+    counts = materialize(docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    top = [r.word for r in counts.orderBy(F.desc("n"), "word").limit(common).collect()]  # ``common`` words at most
+    rest = F.filter("words", lambda w: ~w.isin(top)) if top else F.col("words")
+    own = docs.select("id", rest.alias("words")).withColumn("row", F.struct("id", F.xxhash64("words").alias("h")))
+    rare = counts.where(F.col("n") < least).select("word")
+    # rare words are joined, and gathered by row; frequent ones have gone before any shuffle, and word lists are never taken apart
+    gone = own.select("row", F.explode(F.array_distinct("words")).alias("word")).join(rare, "word").groupBy("row").agg(F.collect_list("word").alias("gone"))
+    left = F.filter("words", lambda w: F.coalesce(~F.array_contains("gone", w), F.lit(True)))
+    out = own.join(gone, "row", "left").select("id", left.alias("words"))
+    return out.withColumn("words", F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(F.lit("DUMMY"))))
+
+
+def fit_topics(docs: DataFrame, topics: int = 100, rounds: int = 50, vocabulary: int | None = None, seed: int = 7) -> PipelineModel:
+    """Counts and latent Dirichlet allocation (variational) over ``words``; the vocabulary has all of them, unless its size is given."""
+    if vocabulary is None:
+        vocabulary = max(1, docs.select(F.explode("words").alias("w")).agg(F.countDistinct("w")).first()[0])
     return Pipeline(stages=[CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary), LDA(k=topics, maxIter=rounds, seed=seed, featuresCol="counts", optimizer="online")]).fit(docs)
 
 
@@ -49,12 +58,11 @@ def infer_topics(model: PipelineModel, docs: DataFrame) -> DataFrame:
 
 
 def top_words(model: PipelineModel, n: int = 100) -> DataFrame:
+    """(topic, words, termWeights): the ``n`` words of each topic with the greatest weight."""
     vocab = model.stages[0].vocabulary
-    terms = F.array(*map(F.lit, vocab)) if len(vocab) < 5000 else None
-    found = model.stages[1].describeTopics(n)
-    if terms is None:
-        return found
-    return found.select("topic", F.transform("termIndices", lambda i: F.get(terms, i)).alias("words"), "termWeights")
+    found = model.stages[1].describeTopics(n).collect()  # topics times n numbers
+    rows = [(r.topic, [vocab[i] for i in r.termIndices], list(r.termWeights)) for r in found]
+    return SparkSession.active().createDataFrame(rows, "topic int, words array<string>, termWeights array<double>")
 
 
 def paper_topics(topics: DataFrame) -> DataFrame:

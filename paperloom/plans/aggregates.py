@@ -47,20 +47,14 @@ def var_counts(spark, sf_dir):
 
 @query("SELECT o_orderpriority, list_sort(list(o_totalprice))[len(list(o_totalprice)) // 2 + 1] AS median FROM orders GROUP BY 1")
 def upper_median_price(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(positions.upper_median(F.collect_list("o_totalprice")).alias("median"))
+    return positions.sorted_places(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", median=(1, 2))
 
 
 @query(
     "SELECT l_returnflag, s[n // 20 + 1] AS p5, s[n // 2 + 1] AS p50, s[19 * n // 20 + 1] AS p95 FROM (SELECT l_returnflag, list_sort(list(l_quantity)) AS s, count(*) AS n FROM lineitem GROUP BY 1)"
 )
 def pct_5_50_95(spark, sf_dir):
-    """Places in the sorted values, found from counts per value, so no group is gathered."""
-    from pyspark.sql import Window
-
-    n = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("n"))
-    up = n.withColumn("upto", F.sum("n").over(Window.partitionBy("l_returnflag").orderBy("l_quantity"))).withColumn("all", F.sum("n").over(Window.partitionBy("l_returnflag")))
-    at = lambda num, den: F.min(F.when(F.col("upto") > F.floor(F.col("all") * num / den), F.col("l_quantity")))
-    return up.groupBy("l_returnflag").agg(at(1, 20).alias("p5"), at(1, 2).alias("p50"), at(19, 20).alias("p95"))
+    return positions.sorted_places(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", p5=(1, 20), p50=(1, 2), p95=(19, 20))
 
 
 @query(

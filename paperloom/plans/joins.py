@@ -10,12 +10,12 @@ from .base import query, table
 
 
 @query(
-    """WITH ids AS (SELECT p_partkey AS id, 'P' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS k FROM part), pre AS (SELECT DISTINCT left('P' || lpad(CAST(p_partkey AS VARCHAR), 7, '0'), 3 + CAST(p_partkey % 4 AS INT)) AS prefix FROM part WHERE p_partkey % 7 = 0)
+    """WITH ids AS (SELECT p_partkey AS id, 'P' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS k FROM part), pre AS (SELECT DISTINCT left('P' || lpad(CAST(p_partkey AS VARCHAR), 7, '0'), 3 + CAST(p_partkey % 4 AS INT)) AS prefix FROM part)
     SELECT k AS id, max_by(prefix, length(prefix)) AS value FROM ids LEFT JOIN pre ON starts_with(k, prefix) AND length(prefix) BETWEEN 3 AND 6 GROUP BY 1"""
 )
 def longest_prefix(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("id"))
-    pre = p.where("p_partkey % 7 = 0").select(F.expr("left(id, 3 + CAST(p_partkey % 4 AS INT))").alias("prefix")).distinct()
+    pre = p.select(F.expr("left(id, 3 + CAST(p_partkey % 4 AS INT))").alias("prefix")).distinct()
     return locate.longest_prefix(p.select("id"), pre.withColumn("value", F.col("prefix"))).select("id", "value")
 
 
@@ -129,12 +129,48 @@ def ambiguous_names(spark, sf_dir):
 
 @query()
 def fuzzy_references(spark, sf_dir):
-    """Part names as references and as known papers, brands as years and types as authors: exact, blocked and external ids."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_id"), F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type")).alias("title"), F.substring("p_brand", 7, 2).cast("int").alias("year"), F.array("p_type").alias("authors"), F.lit("X").alias("citing"))
-    papers = p.where("ref_id % 50 = 0").groupBy("title", "year", "authors").agg(F.concat(F.lit("K"), F.min("ref_id")).alias("paper_id"))
-    refs = p.where("ref_id % 50 = 7")
-    edges = spark.createDataFrame([("X", "K0")], "citing string, cited string")
-    return resolve.resolve(refs, edges, papers)
+    """Part names and types as titles, brands as years and as citing papers: the references are all parts, the known papers all distinct titles of a year, which a brand's network has where it sells them."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_id"), F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type")).alias("title"), F.substring("p_brand", 7, 2).cast("int").alias("year"), F.array("p_type").alias("authors"), F.col("p_brand").alias("citing"))
+    papers = p.where("year % 2 = 0").groupBy("title", "year", "authors").agg(F.concat(F.lit("K"), F.min("ref_id")).alias("paper_id"))
+    edges = p.join(papers.where("year % 4 = 0"), ["title", "year", "authors"]).select("citing", F.col("paper_id").alias("cited")).distinct()
+    return resolve.resolve(p, edges, papers)
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_name || ' ' || lower(p_type) AS title, CAST(substr(p_brand, 7, 2) AS INT) AS year, p_type AS author FROM part),
+    k AS (SELECT title, year, author, max(id) AS paper FROM p GROUP BY 1, 2, 3)
+    SELECT id AS ref_id, paper AS matched FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' missing' ELSE p_name || ' ' || lower(p_type) END AS title, CAST(substr(p_brand, 7, 2) AS INT) AS year, p_type AS author FROM part) r LEFT JOIN k USING (title, year, author)"""
+)
+def cascaded_references(spark, sf_dir):
+    """J1, J2 by ``resolve.cascade``: of papers with one key the last wins; a third of the references have a title that no paper has."""
+    title = F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), title.alias("title"), "p_name", F.substring("p_brand", 7, 2).cast("int").alias("year"), F.array("p_type").alias("authors"))
+    refs = p.select(F.col("id").alias("ref_id"), F.when(F.col("id") % 3 == 0, F.concat("p_name", F.lit(" missing"))).otherwise(F.col("title")).alias("title"), "year", "authors")
+    return resolve.cascade(refs, p.select(F.col("id").alias("paper_id"), "title", "year", "authors")).select("ref_id", F.col("paper_id").alias("matched"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS id, p_name AS t, p_brand AS b FROM part), k AS (SELECT b, t, min(id) AS id FROM p GROUP BY b, t),
+    r AS (SELECT id, b, split_part(t, ' ', 1) AS t FROM p)
+    SELECT r.id AS ref_id, min('K' || lpad(CAST(k.id AS VARCHAR), 9, '0')) AS known FROM r JOIN k ON k.b = r.b AND (contains(k.t, r.t) OR contains(r.t, k.t)) GROUP BY 1"""
+)
+def network_references(spark, sf_dir):
+    """J3 by ``resolve.in_network``: brands cite part names; a first word is a reference that its brand's names contain."""
+    p = table(spark, sf_dir, "part")
+    papers = p.groupBy("p_brand", "p_name").agg(F.concat(F.lit("K"), F.lpad(F.min("p_partkey").cast("string"), 9, "0")).alias("paper_id"))
+    refs = p.select(F.col("p_partkey").alias("ref_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("title"), F.col("p_brand").alias("citing"))
+    got = resolve.in_network(refs, papers.select(F.col("p_brand").alias("citing"), F.col("paper_id").alias("cited")), papers.select("paper_id", F.col("p_name").alias("title")))
+    return got.select("ref_id", F.col("paper_id").alias("known"))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT p_name AS t FROM part), p AS (SELECT a.t AS a, b.t AS b, replace(a.t, ' ', '') AS x, replace(b.t, ' ', '') AS y FROM n a JOIN n b ON left(a.t, 3) = left(b.t, 3) AND a.t < b.t)
+    SELECT a, b FROM p WHERE {_LCP.format(a="x", b="y")} / greatest(1, least(length(x), length(y))) > 0.5"""
+)
+def fuzzy_title_pairs(spark, sf_dir):
+    """J5 by ``resolve.fuzzy_pairs``: equal authors, three letters as block, a shared prefix of more than half the shorter title."""
+    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("ref_id")).distinct()
+    return resolve.fuzzy_pairs(n.select("ref_id", F.col("ref_id").alias("title"), F.array(F.lit("a kim")).alias("authors")), least=0.5)
 
 
 @query(

@@ -51,7 +51,7 @@ def bootstrap_share(spark, sf_dir):
 
 @query()
 def bootstrap_mean_ci(spark, sf_dir):
-    return analytics.bootstrap_mean(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], "value", draws=200)
+    return analytics.bootstrap_mean(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], "value")
 
 
 @query()
@@ -67,20 +67,20 @@ def forest_by_group(spark, sf_dir):
     """Classes of vectors, groups as folds, weights against imbalance."""
     e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("label"), (F.col("vec_id") % 50).alias("paper"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
     e = e.join(F.broadcast(learn.class_weights(e, "label")), "label")  # one row a class
-    return learn.summary(learn.cross_validate(e, "label", "paper", folds=2, trees=10, weight="weight"))
+    return learn.summary(learn.cross_validate(e, "label", "paper", weight="weight"))
 
 
 @query()
 def smote(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") == 0, "rare").otherwise("common").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
-    return learn.smote(e, "label", "v", "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return learn.smote(e, "label", "v", "vec_id")
 
 
 @query()
 def lda_topics(spark, sf_dir):
     d = table(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("id"), F.split(F.lower("text"), " ").alias("words"))
     trimmed = topics.trim(d, common=50)
-    got = topics.infer_topics(topics.fit_topics(trimmed, topics=5, rounds=5, vocabulary=2000), trimmed)
+    got = topics.infer_topics(topics.fit_topics(trimmed), trimmed)
     return got.select("id", F.array_position("topics", F.array_max("topics")).alias("topic"))
 
 

@@ -101,7 +101,7 @@ def masked_citations(spark, sf_dir):
 
 
 @query(
-    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), ' [0-9]{4} ', ' ', 'g'), '-?[lr][rs]b-?', ' ', 'g'), '[,.;]', ' ', 'g'), ' al[.] ', ' ', 'g'), ' al ', ' ', 'g'), ' et ', ' ', 'g')) AS scrubbed FROM documents"""
+    r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), ' [0-9]{4} ', ' ', 'g'), '-(lrb|rrb|lsb|rsb)-|,|\.', '', 'g'), ' al[^\n] | al | et ', ' ', 'g')) AS scrubbed FROM documents"""
 )
 def scrubbed_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.scrub(F.col("text")).cast("binary")).alias("scrubbed"))

@@ -80,36 +80,53 @@ def topic_vectors(spark: SparkSession, path: str) -> DataFrame:
     return tsv(spark, path, ["id", "v"]).select("id", F.transform(F.split(F.trim("v"), " +"), lambda x: x.try_cast("double")).alias("vector"))
 
 
-def patterns(spark: SparkSession, path: str) -> DataFrame:
-    """(class, n, pattern, tokens) from (class, pattern) rows with a lexicon sign; Background is left out, n counts per class."""
+def patterns(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """(name, class, pattern, tokens) from rows of a pattern, its class, and more; only patterns with a lexicon sign count.
+
+    The class Background is left out. ``name`` is class_label_n, n counting the kept rows of
+    a class from 1 in the order of the file.
+    """
     from pyspark.sql import Window
 
-    rows = lines(spark, path).withColumn("c", F.split("value", "\t")).where("size(c) >= 2").select("name", "line", F.col("c")[0].alias("class"), F.replace(F.replace(F.col("c")[1], F.lit("-lrb-"), F.lit("(")), F.lit("-rrb-"), F.lit(")")).alias("pattern"))
-    kept = rows.where(F.col("pattern").contains("@") & (F.col("class") != "Background"))
-    return kept.select("class", (F.row_number().over(Window.partitionBy("class").orderBy("name", "line")) - 1).alias("n"), "pattern", F.split("pattern", " ").alias("tokens"))
+    rows = lines(spark, path).withColumn("c", F.split("value", "\t")).where(F.col("value").contains("@") & (F.size("c") >= 2))
+    rows = rows.select(F.col("name").alias("file"), "line", F.trim(F.col("c")[1]).alias("class"), F.replace(F.replace(F.col("c")[0], F.lit("-lrb-"), F.lit("(")), F.lit("-rrb-"), F.lit(")")).alias("pattern"))
+    n = F.row_number().over(Window.partitionBy("class").orderBy("file", "line"))
+    kept = rows.where(F.col("class") != "Background")
+    return kept.select(F.concat_ws("_", "class", F.lit(label), n).alias("name"), "class", "pattern", F.split(F.trim("pattern"), r"\s+").alias("tokens"))
 
 
 def phrases(spark: SparkSession, path: str, stop: list[str], least: float = 150.0) -> DataFrame:
-    """(phrase) of rows (phrase, weight, place, class): place ``pre``, weight from ``least``, with a letter, not a stop phrase."""
-    rows = tsv(spark, path, ["phrase", "weight", "place", "class"])
-    stops = spark.createDataFrame([(s,) for s in stop], "phrase string")
-    return rows.where("place = 'pre'").where(F.expr("try_cast(weight AS double)") >= least).where(F.col("phrase").rlike("[a-z]")).join(stops, "phrase", "left_anti").select("phrase").distinct()
+    """(cited_id, phrase) of rows of a cited id, a phrase, its place and its tf-idf.
+
+    Kept are rows with four columns, place ``pre`` and a weight from ``least``, whose phrase in
+    lower case has a letter and is no stop phrase.
+    """
+    rows = spark.read.text(path).select(F.split(F.trim(F.col("value")), "\t").alias("c")).where("size(c) = 4")
+    rows = rows.select(F.col("c")[0].alias("cited_id"), F.col("c")[1].alias("phrase"), F.col("c")[2].alias("place"), F.expr("try_cast(c[3] AS double)").alias("weight"))
+    stops = spark.createDataFrame([(s,) for s in stop], "stop string")
+    good = rows.where((F.col("place") == "pre") & (F.col("weight") >= least) & F.lower("phrase").rlike("[a-z]"))
+    return good.join(stops, F.lower("phrase") == F.col("stop"), "left_anti").select("cited_id", "phrase").distinct()
 
 
-#: Citation entries of the shipped JSON: elements may be one object or a list of them.
-_NODE = "title string, date string, rawString string, authors variant, contexts variant"
+def workshops(spark: SparkSession, path: str) -> DataFrame:
+    """(line, name, prefixes) of ragged rows: a count, a name, and one prefix or more."""
+    rows = lines(spark, path).withColumn("c", F.split(F.trim("value"), "\t")).where("size(c) >= 3")
+    return rows.select("line", F.col("c")[1].alias("name"), F.slice("c", 3, F.size("c") - 2).alias("prefixes"))
 
 
 def citation_json(docs: DataFrame, column: str = "text") -> DataFrame:
-    """(name, n, title, date, raw, authors) of nested JSON in which one-element lists may stand as objects.
+    """(name, n, title, date, raw, authors, contexts) of nested JSON in which one-element lists may stand as objects.
 
     The document is parsed as a variant; an object and a list of objects take the same road.
+    A text that is no JSON has no rows. A context keeps its citation string, place and text.
     """
-    v = F.parse_json(column)
+    v = F.try_parse_json(column)
     node = F.try_variant_get(v, "$.algorithms.algorithm.citationList.citation", "variant")
     as_list = lambda x: F.when(F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "array<variant>")).otherwise(F.array(x))
     items = docs.withColumn("_node", node).where("_node IS NOT NULL").select("name", F.posexplode(as_list(F.col("_node"))).alias("n", "c"))
-    people = F.try_variant_get("c", "$.authors.author", "variant")
+    people, around = F.try_variant_get("c", "$.authors.author", "variant"), F.try_variant_get("c", "$.contexts.context", "variant")
+    context = lambda x: F.struct(*(F.try_variant_get(x, f"$['{k}']", t).alias(n) for n, k, t in (("cite", "@citStr", "string"), ("position", "@position", "int"), ("text", "#text", "string"))))
+    none = F.expr("CAST(array() AS array<struct<cite: string, position: int, text: string>>)")
     return items.select(
         "name",
         "n",
@@ -117,6 +134,7 @@ def citation_json(docs: DataFrame, column: str = "text") -> DataFrame:
         F.try_variant_get("c", "$.date", "string").alias("date"),
         F.try_variant_get("c", "$.rawString", "string").alias("raw"),
         F.when(people.isNotNull(), F.transform(as_list(people), lambda a: F.try_variant_get(a, "$", "string"))).otherwise(F.array().cast("array<string>")).alias("authors"),
+        F.when(around.isNotNull(), F.transform(as_list(around), context)).otherwise(none).alias("contexts"),
     )
 
 
@@ -144,6 +162,14 @@ def citation_xml(docs: DataFrame) -> DataFrame:
     return docs.select("name", "text").mapInPandas(run, _CITED)
 
 
+def _number(text: str | None) -> float:
+    """The number that a text is, or 0."""
+    try:
+        return float(text or 0)
+    except ValueError:
+        return 0.0
+
+
 def body_xml(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """(name, pos, kind, text, section, subsection) in document order.
 
@@ -163,7 +189,7 @@ def body_xml(docs: DataFrame, least: float = 0.8) -> DataFrame:
                 pos = 0
                 for e in root.iter():
                     if e.tag in ("bodyText", "listItem", "footnote") or "Header" in e.tag:
-                        sure = float(e.get("confidence") or 0) >= least
+                        sure = _number(e.get("confidence")) >= least
                         kind = ("subsection" if "sub" in e.tag.lower() else "section") if "Header" in e.tag and sure else "body"
                         out.append((name, pos, kind, "".join(e.itertext()).strip()))
                         pos += 1

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False) -> None:
@@ -18,11 +17,14 @@ def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append the rows whose key the target does not have; reading the folder is their union."""
-    try:
-        done = df.sparkSession.read.parquet(path).select(key).distinct()
-    except AnalysisException:
-        done = None
+    """Append the rows whose key the target does not have; reading the folder is their union.
+
+    Only a folder that is not there counts as empty; a table without the key raises.
+    """
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+    done = df.sparkSession.read.parquet(path).select(key).distinct() if there else None
     (df if done is None else df.join(done, key, "left_anti")).write.mode("append").parquet(path)
 
 

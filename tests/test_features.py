@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import features
 
-TOKENS = "array<struct<word: string, lemma: string, pos: string, ArgType: string, is_root: boolean, tense: string, is_pass: boolean, segment_span: array<int>>>"
+TOKENS = "array<struct<word: string, lemma: string, pos: string, ArgType: string, is_root: boolean, tense: string, is_pass: boolean, has_aux: boolean, segment_span: array<int>>>"
 
 
 def toks(text):
     out = []
     for w in text.split():
-        out.append((w, {"used": "use"}.get(w, w.lower()), "VBD" if w in ("used", "proposed") else "NN", "subj" if w == "We" else None, w in ("used", "proposed"), None, False, None))
+        out.append((w, {"used": "use"}.get(w, w.lower()), "VBD" if w in ("used", "proposed") else "NN", "subj" if w == "We" else None, w in ("used", "proposed"), "D" if w == "used" else None, False, w == "proposed", None))
     return out
 
 
@@ -44,3 +44,11 @@ def test_builder(spark):
     built = features.build(ctx, sents, edges, metrics)
     assert features.training_rows(built, marks).count() == 1
     assert features.firing_counts(built, marks).where((F.col("feature") == "SELF") & (F.col("label") == "Uses")).first().n == 1
+
+
+def test_verb_syntax(spark):
+    kind = "array<struct<is_root: boolean, pos: string, tense: string, is_pass: boolean, has_aux: boolean>>"
+    rows = [([(True, "NN", "P", True, None), (None, "MD", None, None, True)],), ([(True, "VB", None, None, True)],), ([(False, "VBD", "D", None, None)],), ([],)]
+    got = [r[0] for r in spark.createDataFrame(rows, f"t {kind}").select(features.verb_syntax(F.col("t"))).collect()]
+    none = {"no_verb_for_modal": 1, "no_verb_for_voice": 1, "no_verb_for_tense": 1}
+    assert got == [{"verb_is_passive": 1, "verb_tense_P": 1, "verb_has_no_modal": 1}, {"verb_is_active": 1, "verb_has_modal": 1}, none, none]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from paperloom.operators import analytics, dependencies, graph, learn, locate, patterns, positions, resolve
+from paperloom.operators import analytics, dependencies, graph, learn, locate, patterns, positions, resolve, topics
 from paperloom.operators.components import connected_components
 
 
@@ -166,3 +166,36 @@ def test_statistics(spark):
     n = spark.createDataFrame([("d", "a", 90), ("d", "b", 10)], "d string, t string, n long")
     got = {r.t: r for r in analytics.bootstrap_shares(n, ["d"], "t", draws=400).collect()}
     assert got["a"].low < 0.9 < got["a"].high + 0.02 and abs(got["a"].mid - 0.9) < 0.03
+
+
+def test_scrub(spark):
+    from paperloom.functions import text as tx
+
+    texts = ["kim et al. 1999 , said ; \u00e9 -lrb- x -rrb- 2001 1999 y.", "a alx b al c et d", "semi; stays"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], ["t"]).select(tx.scrub(F.col("t"))).collect()]
+    assert got == ["kim al  said ;   x  1999 y", "a b c d", "semi; stays"]
+
+
+def test_name_clusters(spark):
+    names = ["Workshop on Machine Translation", "Workshop on Machine Translations", "Workshop on Parsing", "Parsing Workshop on"]
+    got = {r.name: r.cluster for r in resolve.greedy_name_clusters(spark.createDataFrame([(n,) for n in names], ["name"])).collect()}
+    assert got == {names[0]: names[0], names[1]: names[0], names[2]: names[2], names[3]: names[3]}
+
+
+def test_trim_keeps_rows(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "x"]), (1, ["a", "b", "x"]), (1, ["b", "c", "once"]), (2, ["once2"]), (3, [])], "id int, words array<string>")
+    got = sorted((r.id, r.words) for r in topics.trim(docs, common=1, least=2).collect())
+    assert got == [(1, ["DUMMY"]), (1, ["a", "x"]), (1, ["a", "x"]), (2, ["DUMMY"]), (3, ["DUMMY"])]
+    model = topics.fit_topics(docs.where("size(words) > 0"), topics=2, rounds=2)
+    assert len(model.stages[0].vocabulary) == 6 and all(len(r.words) == 3 for r in topics.top_words(model, 3).collect())
+
+
+def test_append_needs_its_key(spark, tmp_path):
+    from paperloom.sources import sinks
+
+    path = str(tmp_path / "t")
+    sinks.append_new(spark.createDataFrame([(1, "a")], "k int, v string"), path, "k")
+    sinks.append_new(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), path, "k")
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+    with pytest.raises(Exception):
+        sinks.append_new(spark.createDataFrame([(1, 2)], "z int, v int"), path, "z")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from paperloom.operators import analytics
 from paperloom.sources import readers, sinks
 from paperloom.streaming import incremental
 
@@ -26,17 +27,22 @@ def test_delimited(spark, tmp_path):
     assert readers.edges(spark, str(tmp_path / "e.txt")).collect() == [("P1", "P2")]
     (tmp_path / "v.txt").write_text("cat 1.0 2.5\n")
     assert readers.embeddings(spark, str(tmp_path / "v.txt")).first().vector == [1.0, 2.5]
-    (tmp_path / "p.tsv").write_text("Uses\t@USE the -lrb-\nUses\tplain\nBackground\t@X\nUses\t@Y z\n")
-    assert [(r["class"], r.n, r.pattern) for r in readers.patterns(spark, str(tmp_path / "p.tsv")).orderBy("n").collect()] == [("Uses", 0, "@USE the ("), ("Uses", 1, "@Y z")]
-    (tmp_path / "f.tsv").write_text("good one\t200\tpre\tUses\nlow\t3\tpre\tU\nrole\t300\tpre\tU\n12\t300\tpre\tU\nx\t300\tpost\tU\n")
-    assert [r.phrase for r in readers.phrases(spark, str(tmp_path / "f.tsv"), ["role"]).collect()] == ["good one"]
+    (tmp_path / "p.tsv").write_text("@USE the -lrb-\tUses\t7\nplain\tUses\t2\n@X\tBackground\t1\n@Y  z\tUses\t1\n@Z\tFuture\t1\n")
+    got = readers.patterns(spark, str(tmp_path / "p.tsv"), "in_cite").orderBy("name").collect()
+    assert [(r.name, r["class"], r.pattern, r.tokens) for r in got] == [("Future_in_cite_1", "Future", "@Z", ["@Z"]), ("Uses_in_cite_1", "Uses", "@USE the (", ["@USE", "the", "("]), ("Uses_in_cite_2", "Uses", "@Y  z", ["@Y", "z"])]
+    (tmp_path / "f.tsv").write_text("P1\tGood one\tpre\t200\nP1\tlow\tpre\t3\nP1\tRole\tpre\t300\nP2\t12\tpre\t300\nP2\tx\tpost\t300\nP2\tshort\tpre\nP2\tok\tpre\t150\n")
+    assert sorted(tuple(r) for r in readers.phrases(spark, str(tmp_path / "f.tsv"), ["role"]).collect()) == [("P1", "Good one"), ("P2", "ok")]
+    (tmp_path / "w.tsv").write_text("5\tLong\ta\tb\tc\td\te\n1\tOne\tf\n1\tLate\tf\n1\tThe Second Try\tg\n1\tIn 1999\th\n1\tOld\ta\n2\tTwo\ti\tj\n5\tLong 2\te\tk\tl\tm\tn\n")
+    got = {r.prefix: (r.name, r.kind) for r in analytics.active_workshops(readers.workshops(spark, str(tmp_path / "w.tsv"))).collect()}
+    assert got == {**{p: ("Long", "Long-Running") for p in "abcd"}, **{p: ("Long 2", "Long-Running") for p in "eklmn"}, "f": ("One", "One-off")}
 
 
 def test_object_or_array_json(spark):
-    one = '{"algorithms":{"algorithm":{"citationList":{"citation":{"title":"T","date":"1999","authors":{"author":"A"}}}}}}'
+    one = '{"algorithms":{"algorithm":{"citationList":{"citation":{"title":"T","date":"1999","authors":{"author":"A"},"contexts":{"context":{"@citStr":"A 1999","@position":"7","#text":"see A 1999"}}}}}}}'
     two = '{"algorithms":{"algorithm":{"citationList":{"citation":[{"title":"U","authors":{"author":["B","C"]}},{"title":"V"}]}}}}'
-    got = readers.citation_json(spark.createDataFrame([("x", one), ("y", two), ("z", "{}")], ["name", "text"])).orderBy("name", "n").collect()
+    got = readers.citation_json(spark.createDataFrame([("x", one), ("y", two), ("z", "{}"), ("bad", "{no json")], ["name", "text"])).orderBy("name", "n").collect()
     assert [(r.name, r.n, r.title, r.authors) for r in got] == [("x", 0, "T", ["A"]), ("y", 0, "U", ["B", "C"]), ("y", 1, "V", [])]
+    assert [tuple(c) for c in got[0].contexts] == [("A 1999", 7, "see A 1999")] and got[1].contexts == []
 
 
 def test_xml(spark):
