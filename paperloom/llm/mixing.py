@@ -81,16 +81,21 @@ def factors(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None
 
 def _folded(cells: DataFrame, targets: dict[str, dict[str, float]] | None, sweeps: int) -> DataFrame:
     """``rake`` for a bounded number of cells: all sweeps are one fold over one row that holds them."""
-    for d in DIMENSIONS:
-        cells = cells.join(_targets(cells, d, (targets or {}).get(d)).withColumnRenamed("t", f"t_{d}"), d)
-    listed = cells.agg(F.sort_array(F.collect_list(F.struct(*DIMENSIONS, "tokens", *(f"t_{d}" for d in DIMENSIONS)))).alias("c")).select(F.posexplode("c").alias("i", "x"))
-    sides = F.array(*(F.struct(F.lit(k).alias("dim"), F.col(f"x.{d}").alias("name"), F.col(f"x.t_{d}").alias("t")) for k, d in enumerate(DIMENSIONS)))
-    split = listed.select("i", "x", F.explode(sides).alias("s"))
-    groups = split.groupBy("s.dim", "s.name").agg(F.first("s.t").alias("t"), F.collect_list(F.struct("i", *(F.col(f"x.{c}") for c in (*DIMENSIONS, "tokens")))).alias("members"))
-    row = groups.agg(F.collect_list(F.struct("dim", "t", "members")).alias("g"))
-    of = lambda k: F.filter("g", lambda g: g["dim"] == k)
-    places = F.array(*(F.transform(of(k), lambda g: F.struct(g["t"].alias("t"), F.transform(g["members"], lambda m: m["i"]).alias("at"))) for k in range(len(DIMENSIONS))))
-    row = row.select(F.array_sort(F.flatten(F.transform(of(0), lambda g: g["members"]))).alias("c"), places.alias("places"))
+    listed = cells.agg(F.sort_array(F.collect_list(F.struct(*DIMENSIONS, "tokens"))).alias("c")).select(F.posexplode("c").alias("i", "x"))
+    sides = F.array(*(F.struct(F.lit(k).alias("dim"), F.col(f"x.{d}").alias("name")) for k, d in enumerate(DIMENSIONS)))
+    groups = listed.select("i", "x", F.explode(sides).alias("s")).groupBy("s.dim", "s.name").agg(F.sum("x.tokens").cast("double").alias("s"), F.collect_list(F.struct("i", *(F.col(f"x.{c}") for c in (*DIMENSIONS, "tokens")))).alias("members"))
+    want = None
+    for k, d in enumerate(DIMENSIONS):
+        given = (targets or {}).get(d)
+        share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in given.items() for x in kv)), F.col("name")), F.lit(0.0)).cast("double") if given else F.pow("s", F.lit(TEMPERATURE[d]))
+        want = F.when(F.col("dim") == k, share) if want is None else want.when(F.col("dim") == k, share)
+    row = groups.withColumn("want", want).agg(F.sort_array(F.collect_list(F.struct("dim", "name", "want", "members"))).alias("g"))
+    of_dim = lambda k: F.filter("g", lambda g: g["dim"] == k)
+    row = row.select(F.array(*map(of_dim, range(len(DIMENSIONS)))).alias("g"))
+    total = lambda of: F.aggregate(of, F.lit(0.0), lambda a, g: a + g["want"])
+    places = F.transform("g", lambda of: F.get(F.transform(F.array(total(of)), lambda whole: F.transform(of, lambda g: F.struct((g["want"] / whole).alias("t"), F.transform(g["members"], lambda m: m["i"]).alias("at")))), 0))
+    # written, so that the fold reads one row of arrays
+    row = materialize(row.select(F.array_sort(F.flatten(F.transform(F.get("g", 0), lambda g: g["members"]))).alias("c"), places.alias("places")))
 
     def scaled(w: Column, step: Column) -> Column:
         def group(g: Column) -> Column:
@@ -100,9 +105,11 @@ def _folded(cells: DataFrame, targets: dict[str, dict[str, float]] | None, sweep
 
         return F.transform(F.array_sort(F.flatten(F.transform(F.get("places", F.pmod(step, F.lit(len(DIMENSIONS)))), group))), lambda x: x["w"])
 
-    steps = F.expr(f"sequence(0, {len(DIMENSIONS) * sweeps - 1})")
-    fitted = F.aggregate(steps, F.transform("c", lambda x: x["tokens"].cast("double")), scaled) if sweeps else F.transform("c", lambda x: x["tokens"].cast("double"))
-    return row.select(F.explode(F.arrays_zip("c", fitted.alias("w"))).alias("z")).select(*(F.col(f"z.c.{c}").alias(c) for c in (*DIMENSIONS, "tokens")), "z.w")
+    start = F.transform("c", lambda x: x["tokens"].cast("double"))
+    fitted = F.aggregate(F.expr(f"sequence(0, {len(DIMENSIONS) * sweeps - 1})"), start, scaled) if sweeps else start
+    out = materialize(row.select(F.explode(F.arrays_zip("c", fitted.alias("w"))).alias("z")).select(*(F.col(f"z.c.{c}").alias(c) for c in (*DIMENSIONS, "tokens")), "z.w"))
+    discard(row)
+    return out
 
 
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS) -> DataFrame:
@@ -115,7 +122,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, s
     """
     cells = materialize(cells.where("tokens > 0").select(*DIMENSIONS, "tokens"))
     if cells.count() <= SMALL:
-        out = materialize(_folded(cells, targets, sweeps))
+        out = _folded(cells, targets, sweeps)
         discard(cells)
         return out
     fitted = factors(cells, targets, sweeps)

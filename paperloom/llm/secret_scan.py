@@ -19,12 +19,12 @@ KEYWORDS = "passw(?:or)?d|passphrase|pwd|secret|token|api.?key|access.?key|priva
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}-----END [A-Z ]{0,24}PRIVATE KEY-----"
     r"|\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
-    rf"|(?<=[=: \t\"'`])(?<=(?i:{KEYWORDS})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,2}}[:=]{{1,2}}[ \t]{{0,2}}[\"'`]?)[^\s\"'`,;<>]{{6,256}}+"
+    rf"|(?<=[=: \t\"'`])(?<=[:=][ \t]{{0,2}}[\"'`]?)(?<=(?i:{KEYWORDS})[A-Za-z_]{{0,12}}[\"']?[ \t]{{0,2}}[:=]{{1,2}}[ \t]{{0,2}}[\"'`]?)[^\s\"'`,;<>]{{6,256}}+"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
 )
 LEFT, RIGHT = 48, 24
 REDACTED = "[SECRET]"
-FINDINGS, TREES, DEPTH, SEED = 9000, 21, 7, 7
+FINDINGS, TREES, DEPTH, SEED = 9000, 15, 6, 7
 #: Words of names, paths and placeholders, which secrets are not made of.
 DICTIONARY = (
     "account admin apple archive article build cache class client code color config configuration content count create data date default delete department demo design "
