@@ -24,8 +24,9 @@ HEAD = 1 << 17
 #: Words that are classes of their own; other words fall into classes by their ending. Words
 #: seen SEEN times or more have a vector in their class, up to HEAD of them.
 OWN, SEEN = 1000, 10
-#: Length of vectors; noise words a batch of classes, and a word in a class; positions in the largest and the first batches; rounds of training.
-DIM, NOISE, NOISE_IN, BATCH, LEAST_BATCH, ROUNDS = 16, 32, 4, 8192, 128, 2
+#: Length of vectors; noise words a batch of classes, and a word in a class; positions in the largest and the first batches; rounds of training, in the
+#: last of which words learn their places in their classes.
+DIM, NOISE, NOISE_IN, BATCH, LEAST_BATCH, ROUNDS = 16, 32, 1, 8192, 128, 2
 #: Tokens of a shard. Shards are dealt by a hash of id and text, and each trains on its own from
 #: the common model, so what is learnt does not depend on files, partitions or retries.
 SHARD = 1 << 21
@@ -198,8 +199,8 @@ class Model:
     def parts(self) -> tuple[np.ndarray, ...]:
         return self.before, self.second, self.out, self.bias, self.word, self.word_bias
 
-    def train(self, streams: Iterator[np.ndarray], v: Vocabulary, rate: float, seed: int) -> int:
-        """Noise-contrastive steps (Adagrad) over token streams, in place; returns the positions seen."""
+    def train(self, streams: Iterator[np.ndarray], v: Vocabulary, rate: float, seed: int, words: bool = True) -> int:
+        """Noise-contrastive steps (Adagrad) over token streams, in place; returns the positions seen. ``words``: in classes too."""
         rng = np.random.default_rng(seed)
         size, cum, log_noise = v.classes, np.cumsum(v.freq), np.log(NOISE * v.freq)
         squares = [np.full(p.shape, 1e-3) for p in self.parts()]
@@ -218,7 +219,8 @@ class Model:
                 uw, un = np.take(self.out, w, axis=1), self.out[:, noise]
                 gain = _sigmoid(-((q * uw).sum(0) + self.bias[w] - log_noise[w]))
                 loss = -_sigmoid((q.T @ un + (self.bias[noise] - log_noise[noise])).astype(np.float32)).astype(np.float64)
-                self._within(tokens[now], q, v, rate, rng, squares)
+                if words:
+                    self._within(tokens[now], q, v, 0.1, rng, squares)
                 dq = gain * uw + un @ loss.T
                 d_out = spread(w, gain * q)
                 np.add.at(d_out, (slice(None), noise), q @ loss)
@@ -331,33 +333,33 @@ def _fit(train: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
         return model
     shards = _shards(train, v)
     shared = context.broadcast(v)
-    names = [f"v{i}" for i in range(3 * DIM + 1)]
-    classes, slots = v.classes, len(v.slots)
+    names = [f"v{i}" for i in range(DIM + 1)]
+    classes = v.classes
     for k in range(rounds):
         now = context.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], now=now, k=k, last=k + 1 == rounds) -> Iterator[pa.RecordBatch]:
             v, total, n = shared.value, None, 0
             for b in batches:
                 for shard, codes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     own = Model(*(x.copy() for x in now.value.parts()))
                     tokens = codes.values.to_numpy().astype(np.int64)
                     pieces = (tokens[i : i + (1 << 17)] for i in range(0, len(tokens), 1 << 17))
-                    size = own.train(pieces, v, 0.1 / (k + 1), shard * rounds + k)
+                    size = own.train(pieces, v, 0.1 / (k + 1), shard * rounds + k, k + 1 == rounds)
                     total = [x * size if total is None else t + x * size for t, x in zip(total or own.parts(), own.parts(), strict=True)]
                     n += size
-            if n:  # rows of classes, then of words: three vectors and a bias, or one of each
-                top = np.vstack([total[0], total[1], total[2], total[3][None]])
-                low = np.zeros((len(top), slots))
-                low[:DIM], low[-1] = total[4], total[5]
-                rows = np.hstack([top, low])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes + slots), pa.int32()), pa.array(np.full(classes + slots, float(n))), *map(pa.array, rows)], ["code", "n", *names])
+            if n:  # a row for each vector: of classes, three kinds, then of words; the bias stands behind the last two kinds
+                none = np.zeros((1, classes))
+                rows = np.hstack([np.vstack([total[0], none]), np.vstack([total[1], none]), np.vstack([total[2], total[3][None]]), *([np.vstack([total[4], total[5][None]])] if last else [])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows.shape[1]), pa.int32()), pa.array(np.full(rows.shape[1], float(n))), *map(pa.array, rows)], ["code", "n", *names])
 
         got = shards.select("shard", "codes").mapInArrow(run, "code int, n double, " + ", ".join(f"{c} double" for c in names))
         got = got.groupBy("code").agg(*((F.sum(c) / F.sum("n")).alias(c) for c in names)).toPandas().sort_values("code")
         x = got[names].to_numpy().T
-        top, low = x[:, :classes], x[:, classes:]
-        model = Model(*(np.ascontiguousarray(p) for p in (top[:DIM], top[DIM : 2 * DIM], top[2 * DIM : 3 * DIM], top[-1], low[:DIM], low[-1])))
+        before, second, out = (x[:, i * classes : (i + 1) * classes] for i in range(3))
+        word = (x[:DIM, 3 * classes :], x[-1, 3 * classes :]) if k + 1 == rounds else model.parts()[4:]
+        model = Model(*(np.ascontiguousarray(p) for p in (before[:DIM], second[:DIM], out[:DIM], out[-1], *word)))
+        del got, x
         now.destroy()
     shared.destroy()
     discard(shards)
