@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,8 +72,8 @@ def fixed_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def filter_bits(n: int, most: int = FILTER_BITS) -> int:
-    """Bits of a filter over ``n`` keys: at least 16 a key, a power of two, from 2**15 to ``most``."""
-    return min(most, max(_BUCKET, 1 << max(0, 16 * n - 1).bit_length()))
+    """Bits of a filter over ``n`` keys: at least 64 a key, a power of two, from 2**15 to ``most``."""
+    return min(most, max(_BUCKET, 1 << max(0, 64 * n - 1).bit_length()))
 
 
 def in_filter(bitset: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -97,13 +97,14 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
 
 
-def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame, name: str) -> tuple[DataFrame | None, DataFrame]:
+def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame, name: str, then: Callable | None = None, schema: str | None = None) -> tuple[DataFrame | None, DataFrame]:
     """``docs`` in two parts: rows whose ``key`` is surely not in the only column of ``keys``, and the few that may be, with ``name`` = key.
 
     Only the second part needs a join, so a decision about few rows does not shuffle the
     texts of all others. The filter that tells them apart is sized by the counted keys;
     where there are so many that one of FILTER_BITS would be full, there is no first part
-    (None), and the join takes all rows.
+    (None), and the join takes all rows. ``then`` is a step over Arrow batches that the first part
+    goes through in the same Python worker; it gives ``schema``.
     """
     marked = docs.withColumn(name, key)
     n = keys.count()
@@ -120,6 +121,8 @@ def split_by_keys(docs: DataFrame, key: Column, keys: DataFrame, name: str) -> t
                 found = in_filter(wanted.value, b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).view(np.uint64))
                 yield b.filter(pa.array(found == inside)).select(list(range(b.num_columns - 1 - (not inside))))
 
+        if then and not inside:
+            return hashed.mapInArrow(lambda batches: then(run(batches)), schema)
         return hashed.mapInArrow(run, (marked if inside else docs).schema)
 
     return part(False), part(True)

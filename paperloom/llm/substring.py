@@ -15,7 +15,7 @@ from .common import FILTER_BITS, PLAIN, Words, column_slices, filter_bits, fixed
 #: Words of the shingles among which a window's anchor is chosen.
 ANCHOR = 8
 #: Bytes of text whose windows a worker compares with each other before it gives out any.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: An anchor that more Arrow batches than this have is dealt out by window, so that no task gets all its windows.
 HOT = 4096
 _FLOOR = -(1 << 63)
@@ -218,9 +218,6 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) -> D
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_FLOOR)).alias("doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tk"), F.col("text").cast("string").alias("text"))
     found = repeated_windows(own.select("doc", "tk", "text"), window, anchor)
     per_doc = materialize(found.groupBy("doc", "tk").agg(F.collect_list(F.struct(*_RUN)).alias("w")).select(F.struct("doc", "tk").alias("name"), "w"))
-    others, maybe = split_by_keys(own, F.struct("doc", "tk"), per_doc.select("name"), "name")
-    joined = maybe.join(per_doc, "name", "left").select("doc_id", "text", *(f"w.{c}" for c in _RUN))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, _, _ in column_slices(b.column(1)):
@@ -240,8 +237,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) -> D
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("ref_doc", pa.int64()), ("ref_start", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    cut = joined.mapInArrow(run, _OUT)
-    return cut if others is None else others.select("doc_id", "text").mapInArrow(run, _OUT).unionByName(cut)
+    others, maybe = split_by_keys(own, F.struct("doc", "tk"), per_doc.select("name"), "name", lambda batches: run(b.select([0, 3]) for b in batches), _OUT)
+    cut = maybe.join(per_doc, "name", "left").select("doc_id", "text", *(f"w.{c}" for c in _RUN)).mapInArrow(run, _OUT)
+    return cut if others is None else others.unionByName(cut)
 
 
 def digests(cleaned: DataFrame) -> DataFrame:
