@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
 
@@ -24,6 +24,8 @@ HEAD = 1 << 17
 #: Words that are classes of their own; other words fall into classes by their ending. Words
 #: seen SEEN times or more have a vector in their class, up to HEAD of them.
 OWN, SEEN = 1000, 10
+#: Words with a vector that a class holds; the words of a fuller ending go to further classes.
+FULL = 192
 #: Length of vectors; noise words a batch of classes, and a word in a class; positions in the largest and the first batches; rounds of training, in the
 #: last of which words learn their places in their classes.
 DIM, NOISE, NOISE_IN, BATCH, LEAST_BATCH, ROUNDS = 16, 32, 1, 8192, 128, 2
@@ -31,6 +33,8 @@ DIM, NOISE, NOISE_IN, BATCH, LEAST_BATCH, ROUNDS = 16, 32, 1, 8192, 128, 2
 #: the common model, so what is learnt does not depend on files, partitions or retries.
 SHARD = 1 << 21
 _FLUSH = 1 << 19
+#: Bytes of text that are scored together: each class of a slice is one matrix product.
+_SCORED = 3 << 20
 _LN10 = float(np.log(10))
 
 
@@ -90,16 +94,17 @@ class Vocabulary:
     ends: int
 
     def __post_init__(self) -> None:
-        """``members``: class (from 0) of each word with a vector behind the first ``own``."""
+        """``members``: class (from 0) of each word with a vector behind the first ``own``; classes from ``endings`` on have no rest."""
         m, e = len(self.members), self.endings
+        self.groups = max(e, int(self.members.max()) + 1 if m else 0)
         self.vectors = self.own + m
         self.end = self.vectors + e
-        self.class_of = np.concatenate((np.arange(self.own), self.own + self.members, self.own + np.arange(e), [self.own + e]))
+        self.class_of = np.concatenate((np.arange(self.own), self.own + self.members, self.own + np.arange(e), [self.own + self.groups]))
         inside = np.concatenate((self.members, np.arange(e)))
         self.slots = np.argsort(inside, kind="stable")  # members and rests, class by class
         self.slot_of = np.empty(len(inside), np.int64)
         self.slot_of[self.slots] = np.arange(len(inside))
-        self.class_at = np.searchsorted(inside[self.slots], np.arange(e + 1))
+        self.class_at = np.searchsorted(inside[self.slots], np.arange(self.groups + 1))
         weight = np.concatenate((self.counts[self.own : self.vectors] + 1.0, self.rest_count + 1.0))[self.slots]
         self.slot_sum = np.cumsum(weight)
         whole = np.add.reduceat(weight, self.class_at[:-1]) if e else np.zeros(0)
@@ -112,7 +117,7 @@ class Vocabulary:
 
     @property
     def classes(self) -> int:
-        return self.own + self.endings + 1
+        return self.own + self.groups + 1
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(place in ``counts`` or -1, token code) of each word."""
@@ -164,104 +169,142 @@ def vocabulary(counts: DataFrame, n_docs: int, head: int = HEAD, own: int = OWN,
     tails = np.array([ending(w) % endings for w in words[:vectors]], np.int64)
     np.subtract.at(rest, tails, c[:vectors])
     np.subtract.at(words_in, tails, 1)
-    v = Vocabulary({w: i for i, w in enumerate(words)}, c, own, endings, tails[own:], rest, words_in, total + n_docs, distinct + (n_docs > 0), n_docs)
+    v = Vocabulary({w: i for i, w in enumerate(words)}, c, own, endings, spread_out(tails[own:], endings), rest, words_in, total + n_docs, distinct + (n_docs > 0), n_docs)
     return v, counts.where(band < cut)
 
 
+def spread_out(tails: np.ndarray, endings: int, full: int = FULL) -> np.ndarray:
+    """The class of each word with a vector: its ending's, or, beyond ``full`` words of one ending, further classes of as many, by frequency."""
+    order = np.argsort(tails, kind="stable")
+    begin = np.searchsorted(tails[order], np.arange(endings))
+    turn = np.empty(len(tails), np.int64)
+    turn[order] = (np.arange(len(tails)) - begin[tails[order]]) // full  # words come most frequent first
+    more = np.maximum(np.bincount(tails, minlength=endings) - 1, 0) // full
+    first = endings + np.cumsum(more) - more
+    return np.where(turn > 0, first[tails] + turn - 1, tails)
+
+
 def _step(p: np.ndarray, s: np.ndarray, g: np.ndarray, rate: float, n: int) -> None:
-    """An Adagrad step by a gradient that is summed over ``n`` positions, in place."""
-    g = g / n
-    s += g * g * n
-    p += rate * g * n**0.5 / np.sqrt(s)
+    """An Adagrad step by a gradient that is summed over ``n`` positions, in place; ``g`` is used up."""
+    g *= n**-0.5
+    s += g * g
+    g *= rate / np.sqrt(s)
+    p += g
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _sums(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, sums of their rows)."""
+    order = np.argsort(codes, kind="stable")
+    sorted_ = codes[order]
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    return sorted_[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 @dataclass
 class Model:
-    """Vectors of the class before and the one before that, of the class itself and biases; vectors and biases of words in their classes (by slot)."""
+    """Vectors, one a row: of the class before and the one before that, of the class itself, of words in their classes (by slot); biases stand last in the latter two."""
 
     before: np.ndarray
     second: np.ndarray
     out: np.ndarray
-    bias: np.ndarray
     word: np.ndarray
-    word_bias: np.ndarray
 
     @classmethod
     def start(cls, v: Vocabulary, dim: int = DIM) -> Model:
         rng = np.random.default_rng(5)
-        a, b, c = (rng.normal(0, 0.1, (dim, v.classes)) for _ in range(3))
-        return cls(a, b, c, np.log(v.freq), np.zeros((dim, len(v.slots))), np.log(v.slot_share))
+        a, b, c = (rng.normal(0, 0.1, (v.classes, dim)).astype(np.float32) for _ in range(3))
+        bias = lambda share: np.log(share).astype(np.float32)[:, None]
+        return cls(a, b, np.hstack((c, bias(v.freq))), np.hstack((np.zeros((len(v.slots), dim), np.float32), bias(v.slot_share))))
 
     def parts(self) -> tuple[np.ndarray, ...]:
-        return self.before, self.second, self.out, self.bias, self.word, self.word_bias
+        return self.before, self.second, self.out, self.word
 
     def train(self, streams: Iterator[np.ndarray], v: Vocabulary, rate: float, seed: int, words: bool = True) -> int:
         """Noise-contrastive steps (Adagrad) over token streams, in place; returns the positions seen. ``words``: in classes too."""
         rng = np.random.default_rng(seed)
-        size, cum, log_noise = v.classes, np.cumsum(v.freq), np.log(NOISE * v.freq)
-        squares = [np.full(p.shape, 1e-3) for p in self.parts()]
-        spread = lambda codes, grad: np.stack([np.bincount(codes, g, size) for g in grad])
+        size, dim, cum = v.classes, self.before.shape[1], np.cumsum(v.freq)
+        log_noise = np.log(NOISE * v.freq).astype(np.float32)
+        squares = [np.full(p.shape, 1e-3, np.float32) for p in self.parts()]
         seen = 0
+
+        def push(p: np.ndarray, s: np.ndarray, codes: np.ndarray, rows: np.ndarray, step: float, n: int) -> None:
+            used, g = _sums(codes, rows)
+            part, square = p[used], s[used]
+            _step(part, square, g, step, n)
+            p[used], s[used] = part, square
+
         for tokens in streams:
             all_w, one, two = v.contexts(tokens)
+            kind = np.int16 if size < 1 << 15 else np.int64  # few classes sort faster
             i = 0
             while i < len(tokens):
                 size_now = min(BATCH, max(LEAST_BATCH, seen // 16))  # little text gives many small steps
                 now = slice(i, i + size_now)
                 w, c1, c2 = all_w[now], one[now], two[now]
+                n = len(w)
                 i += size_now
                 noise = np.minimum(np.searchsorted(cum, rng.random(NOISE)), size - 1)
-                q = np.take(self.before, c1, axis=1) + np.take(self.second, c2, axis=1)
-                uw, un = np.take(self.out, w, axis=1), self.out[:, noise]
-                gain = _sigmoid(-((q * uw).sum(0) + self.bias[w] - log_noise[w]))
-                loss = -_sigmoid((q.T @ un + (self.bias[noise] - log_noise[noise])).astype(np.float32)).astype(np.float64)
+                q = np.ones((n, dim + 1), np.float32)  # a one stands where the bias is
+                q[:, :dim] = self.before[c1]
+                q[:, :dim] += self.second[c2]
+                uw, un = self.out[w], self.out[noise]
+                gain = _sigmoid(log_noise[w] - np.einsum("nd,nd->n", q, uw))
+                loss = q @ un.T
+                loss -= log_noise[noise]
+                loss = _sigmoid(loss)
                 if words:
-                    self._within(tokens[now], q, v, 0.1, rng, squares)
-                dq = gain * uw + un @ loss.T
-                d_out = spread(w, gain * q)
-                np.add.at(d_out, (slice(None), noise), q @ loss)
-                d_bias = np.bincount(w, gain, size) + np.bincount(noise, loss.sum(0), size)
-                for p, s, g in zip(self.parts()[:4], squares, (spread(c1, dq), spread(c2, dq), d_out, d_bias), strict=False):
-                    _step(p, s, g, rate, len(w))
-                seen += len(w)
+                    self._within(tokens[now], q, v, 0.1, rng, push, squares[3])
+                dq = uw * gain[:, None]
+                dq -= loss @ un
+                push(self.before, squares[0], c1.astype(kind), dq[:, :dim], rate, n)
+                push(self.second, squares[1], c2.astype(kind), dq[:, :dim], rate, n)
+                push(self.out, squares[2], np.append(w, noise).astype(kind), np.vstack((q * gain[:, None], -(loss.T @ q))), rate, n)
+                seen += n
         return seen
 
-    def _within(self, tokens: np.ndarray, q: np.ndarray, v: Vocabulary, rate: float, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
+    def _within(self, tokens: np.ndarray, q: np.ndarray, v: Vocabulary, rate: float, rng: np.random.Generator, push: Callable, squares: np.ndarray) -> None:
         """The step for words in their classes; noise comes from the same class."""
         hit = np.flatnonzero((tokens >= v.own) & (tokens < v.end))
         if not len(hit):
             return
         slot = v.slot_of[tokens[hit] - v.own]
         k = v.class_of[tokens[hit]] - v.own
-        low = np.append(0.0, v.slot_sum)[v.class_at[k]]
         high = v.slot_sum[v.class_at[k + 1] - 1]
+        low = np.where(v.class_at[k] > 0, v.slot_sum[v.class_at[k] - 1], 0.0)
         noise = np.searchsorted(v.slot_sum, low[:, None] + rng.random((len(hit), NOISE_IN)) * (high - low)[:, None], side="right")
-        slots = np.column_stack((slot, np.minimum(noise, v.class_at[k + 1][:, None] - 1)))
-        used, at = np.unique(slots, return_inverse=True)
-        at = at.reshape(slots.shape)
-        vec = self.word[:, used]
-        own = q[:, hit]
-        z = np.einsum("dn,dnk->nk", own, vec[:, at]) + (self.word_bias[used] - np.log(NOISE_IN * v.slot_share[used]))[at]
-        push = -_sigmoid(z)
-        push[:, 0] += 1
-        flat = at.ravel()
-        grad = np.stack([np.bincount(flat, (push * x[:, None]).ravel(), len(used)) for x in own])
-        for p, s, g in ((self.word, squares[4], grad), (self.word_bias, squares[5], np.bincount(flat, push.ravel(), len(used)))):
-            part, square = p[..., used], s[..., used]
-            _step(part, square, g, rate, len(tokens))
-            p[..., used], s[..., used] = part, square
+        slots = np.column_stack((slot, np.minimum(noise, v.class_at[k + 1][:, None] - 1))).ravel()
+        own = np.repeat(q[hit], NOISE_IN + 1, axis=0)
+        z = np.einsum("nd,nd->n", own, self.word[slots])
+        z -= np.log(NOISE_IN * v.slot_share[slots]).astype(np.float32)
+        up = -_sigmoid(z)
+        up[:: NOISE_IN + 1] += 1
+        own *= up[:, None]
+        push(self.word, squares, slots, own, rate, len(tokens))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by (class before, class), (second before, class), biases, and the log normaliser of each context, by matrix products."""
-        one, two = (self.before.T @ self.out).astype(np.float32), (self.second.T @ self.out).astype(np.float32)
-        bias = self.bias.astype(np.float32)
+        """Scores by (class before, class), (second before, class), biases, and the log normaliser of each context, by matrix products.
+
+        The sum over w of exp(a[i, w] + b[j, w] + bias[w]) is a product of the matrices exp(a + bias) and exp(b).
+        """
+        dim = self.before.shape[1]
+        vectors, bias = self.out[:, :dim].T, self.out[:, dim]
+        one, two = self.before @ vectors, self.second @ vectors
         norm = np.empty(one.shape, np.float32)
-        for c2 in range(len(two)):
-            norm[:, c2] = np.log(np.exp(one + (two[c2] + bias)).sum(1, dtype=np.float64))
+        top2 = two.max(1)
+        right = np.exp((two - top2[:, None]).astype(np.float64)).T
+        for a in range(0, len(one), 256):
+            left = (one[a : a + 256] + bias).astype(np.float64)
+            top1 = left.max(1)
+            norm[a : a + 256] = np.log(np.exp(left - top1[:, None]) @ right) + top1[:, None] + top2
         return one, two, bias, norm
 
 
@@ -272,16 +315,16 @@ def within(tokens: np.ndarray, one: np.ndarray, two: np.ndarray, v: Vocabulary,
     k = v.class_of[tokens[hit]] - v.own
     order = np.argsort(k, kind="stable")
     hit, k = hit[order], k[order]
-    edges = np.searchsorted(k, np.arange(v.endings + 1))
-    before, second, word, bias = (x.astype(np.float32) for x in (m.before, m.second, m.word, m.word_bias))
+    edges = np.searchsorted(k, np.arange(v.groups + 1))
+    dim = m.before.shape[1]
     for c in np.flatnonzero(np.diff(edges)).tolist():
         span = slice(v.class_at[c], v.class_at[c + 1])
         for a in range(edges[c], edges[c + 1], BATCH):
             at = hit[a : min(a + BATCH, edges[c + 1])]
-            q = np.take(before, one[at], axis=1) + np.take(second, two[at], axis=1)
-            z = q.T @ word[:, span] + bias[span]
-            norm = np.log(np.exp(z).sum(1, dtype=np.float64))
-            out[at] = z[np.arange(len(at)), v.slot_of[tokens[at] - v.own] - v.class_at[c]] - norm
+            z = (m.before[one[at]] + m.second[two[at]]) @ m.word[span, :dim].T
+            z += m.word[span, dim]
+            own = z[np.arange(len(at)), v.slot_of[tokens[at] - v.own] - v.class_at[c]]
+            out[at] = own - np.log(np.exp(z, out=z).sum(1))
     return out
 
 
@@ -346,19 +389,20 @@ def _fit(train: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
                     tokens = codes.values.to_numpy().astype(np.int64)
                     pieces = (tokens[i : i + (1 << 17)] for i in range(0, len(tokens), 1 << 17))
                     size = own.train(pieces, v, 0.1 / (k + 1), shard * rounds + k, k + 1 == rounds)
-                    total = [x * size if total is None else t + x * size for t, x in zip(total or own.parts(), own.parts(), strict=True)]
+                    each = [x.astype(np.float64) * size for x in own.parts()]
+                    total = [t + x for t, x in zip(total, each, strict=True)] if total else each
                     n += size
-            if n:  # a row for each vector: of classes, three kinds, then of words; the bias stands behind the last two kinds
-                none = np.zeros((1, classes))
-                rows = np.hstack([np.vstack([total[0], none]), np.vstack([total[1], none]), np.vstack([total[2], total[3][None]]), *([np.vstack([total[4], total[5][None]])] if last else [])])
+            if n:  # a row for each vector: of classes, three kinds, then of words
+                pad = [np.hstack((x, np.zeros((len(x), DIM + 1 - x.shape[1])))) for x in (total if last else total[:3])]
+                rows = np.ascontiguousarray(np.vstack(pad).T)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows.shape[1]), pa.int32()), pa.array(np.full(rows.shape[1], float(n))), *map(pa.array, rows)], ["code", "n", *names])
 
         got = shards.select("shard", "codes").mapInArrow(run, "code int, n double, " + ", ".join(f"{c} double" for c in names))
         got = got.groupBy("code").agg(*((F.sum(c) / F.sum("n")).alias(c) for c in names)).toPandas().sort_values("code")
-        x = got[names].to_numpy().T
-        before, second, out = (x[:, i * classes : (i + 1) * classes] for i in range(3))
-        word = (x[:DIM, 3 * classes :], x[-1, 3 * classes :]) if k + 1 == rounds else model.parts()[4:]
-        model = Model(*(np.ascontiguousarray(p) for p in (before[:DIM], second[:DIM], out[:DIM], out[-1], *word)))
+        x = got[names].to_numpy(np.float32)
+        before, second, out = (np.ascontiguousarray(x[i * classes : (i + 1) * classes]) for i in range(3))
+        word = np.ascontiguousarray(x[3 * classes :]) if k + 1 == rounds else model.word
+        model = Model(*(np.ascontiguousarray(p[:, :DIM]) for p in (before, second)), out, word)
         del got, x
         now.destroy()
     shared.destroy()
@@ -398,7 +442,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         den = np.log10(v.rest_count + v.rest_words + 1.0)
         end_log, all_log = np.log10(v.ends + 1.0), np.log10(v.tokens + v.distinct + 1.0)
         for b in batches:
-            for lo, hi, _, _ in column_slices(b.column(1)):
+            for lo, hi, _, _ in column_slices(b.column(1), _SCORED):
                 docs_ = [_split(t) for t in b.column(1).slice(lo, hi - lo).to_pylist()]
                 sizes = np.fromiter(map(len, docs_), np.int64, len(docs_))
                 words = list(chain.from_iterable(docs_))
