@@ -192,21 +192,31 @@ def _step(p: np.ndarray, s: np.ndarray, g: np.ndarray, rate: float, n: int) -> N
     p += g
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.clip(x, -30, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+def _less(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
 def _sums(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct codes, sums of their rows)."""
-    order = np.argsort(codes, kind="stable")
-    sorted_ = codes[order]
-    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    return sorted_[first], np.add.reduceat(rows[order], first, axis=0)
+    order = np.argsort(codes, kind="stable" if codes.itemsize == 2 else None)
+    codes = codes.take(order)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    if 2 * len(first) < len(codes):
+        return codes.take(first), np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+    out = rows.take(order.take(first), axis=0)  # most codes stand once or twice: add the second rows, the third, and so on
+    size = np.diff(np.append(first, len(codes)))
+    more, k = np.flatnonzero(size > 1), 1
+    while 64 * len(more) > len(first):
+        out[more] += rows.take(order.take(first.take(more) + k), axis=0)
+        k += 1
+        more = more[size.take(more) > k]
+    for i in more.tolist():
+        out[i] += rows.take(order[first[i] + k : first[i] + size[i]], axis=0).sum(0)
+    return codes.take(first), out
 
 
 @dataclass
@@ -238,7 +248,7 @@ class Model:
 
         def push(p: np.ndarray, s: np.ndarray, codes: np.ndarray, rows: np.ndarray, step: float, n: int) -> None:
             used, g = _sums(codes, rows)
-            part, square = p[used], s[used]
+            part, square = p.take(used, axis=0), s.take(used, axis=0)
             _step(part, square, g, step, n)
             p[used], s[used] = part, square
 
@@ -254,13 +264,12 @@ class Model:
                 i += size_now
                 noise = np.minimum(np.searchsorted(cum, rng.random(NOISE)), size - 1)
                 q = np.ones((n, dim + 1), np.float32)  # a one stands where the bias is
-                q[:, :dim] = self.before[c1]
-                q[:, :dim] += self.second[c2]
-                uw, un = self.out[w], self.out[noise]
-                gain = _sigmoid(log_noise[w] - np.einsum("nd,nd->n", q, uw))
-                loss = q @ un.T
-                loss -= log_noise[noise]
-                loss = _sigmoid(loss)
+                np.add(self.before.take(c1, axis=0), self.second.take(c2, axis=0), out=q[:, :dim])
+                uw, un = self.out.take(w, axis=0), self.out.take(noise, axis=0)
+                gain = _less(np.einsum("nd,nd->n", q, uw) - log_noise.take(w))
+                loss = q @ -un.T
+                loss += log_noise[noise]
+                loss = _less(loss)
                 if words:
                     self._within(tokens[now], q, v, 0.1, rng, push, squares[3])
                 dq = uw * gain[:, None]
@@ -280,27 +289,35 @@ class Model:
         k = v.class_of[tokens[hit]] - v.own
         high = v.slot_sum[v.class_at[k + 1] - 1]
         low = np.where(v.class_at[k] > 0, v.slot_sum[v.class_at[k] - 1], 0.0)
-        noise = np.searchsorted(v.slot_sum, low[:, None] + rng.random((len(hit), NOISE_IN)) * (high - low)[:, None], side="right")
-        slots = np.column_stack((slot, np.minimum(noise, v.class_at[k + 1][:, None] - 1))).ravel()
-        own = np.repeat(q[hit], NOISE_IN + 1, axis=0)
-        z = np.einsum("nd,nd->n", own, self.word[slots])
-        z -= np.log(NOISE_IN * v.slot_share[slots]).astype(np.float32)
-        up = -_sigmoid(z)
-        up[:: NOISE_IN + 1] += 1
+        drawn = np.tile(low, NOISE_IN) + rng.random(len(hit) * NOISE_IN) * np.tile(high - low, NOISE_IN)
+        order = np.argsort(drawn)
+        noise = np.empty(len(drawn), np.int64)
+        noise[order] = np.searchsorted(v.slot_sum, drawn.take(order), side="right")  # in order, which is kinder to caches
+        slots = np.append(slot, np.minimum(noise, np.tile(v.class_at[k + 1] - 1, NOISE_IN))).astype(np.int32)
+        own = q.take(np.tile(hit, NOISE_IN + 1), axis=0)
+        z = np.log(NOISE_IN * v.slot_share.take(slots)).astype(np.float32)
+        z -= np.einsum("nd,nd->n", own, self.word.take(slots, axis=0))
+        up = -_less(z)
+        up[: len(hit)] += 1
         own *= up[:, None]
         push(self.word, squares, slots, own, rate, len(tokens))
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores by (class before, class) and (second before, class), and biases."""
+        dim = self.before.shape[1]
+        vectors = self.out[:, :dim].T
+        return self.before @ vectors, self.second @ vectors, self.out[:, dim]
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Scores by (class before, class), (second before, class), biases, and the log normaliser of each context, by matrix products.
+        """What ``pairs`` gives, and the log normaliser of each context, by matrix products.
 
         The sum over w of exp(a[i, w] + b[j, w] + bias[w]) is a product of the matrices exp(a + bias) and exp(b).
         """
-        dim = self.before.shape[1]
-        vectors, bias = self.out[:, :dim].T, self.out[:, dim]
-        one, two = self.before @ vectors, self.second @ vectors
+        one, two, bias = self.pairs()
         norm = np.empty(one.shape, np.float32)
         top2 = two.max(1)
-        right = np.exp((two - top2[:, None]).astype(np.float64)).T
+        right = np.subtract(two.T, top2, dtype=np.float64)
+        np.exp(right, out=right)
         for a in range(0, len(one), 256):
             left = (one[a : a + 256] + bias).astype(np.float64)
             top1 = left.max(1)
@@ -321,7 +338,7 @@ def within(tokens: np.ndarray, one: np.ndarray, two: np.ndarray, v: Vocabulary,
         span = slice(v.class_at[c], v.class_at[c + 1])
         for a in range(edges[c], edges[c + 1], BATCH):
             at = hit[a : min(a + BATCH, edges[c + 1])]
-            z = (m.before[one[at]] + m.second[two[at]]) @ m.word[span, :dim].T
+            z = (m.before.take(one[at], axis=0) + m.second.take(two[at], axis=0)) @ m.word[span, :dim].T
             z += m.word[span, dim]
             own = z[np.arange(len(at)), v.slot_of[tokens[at] - v.own] - v.class_at[c]]
             out[at] = own - np.log(np.exp(z, out=z).sum(1))
@@ -434,10 +451,11 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     counts = materialize(word_counts(train))
     v, others = vocabulary(counts, train.count())
     model = _fit(train, v)
-    shared, fitted = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast((model, model.tables()))
+    shared, fitted = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast((model, model.tables()[3]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, (model, (by_one, by_two, bias, norm)) = shared.value, fitted.value
+        v, (model, norm) = shared.value, fitted.value
+        by_one, by_two, bias = model.pairs()
         logs = np.concatenate((np.log10(v.counts + 1.0), [0.0]))
         den = np.log10(v.rest_count + v.rest_words + 1.0)
         end_log, all_log = np.log10(v.ends + 1.0), np.log10(v.tokens + v.distinct + 1.0)
@@ -474,6 +492,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
 
     rows = docs.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, model double, tail array<struct<word: string, tf: int>>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    shared.destroy()
+    fitted.destroy()
     tail = rows.where(F.size("tail") > 0).select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.tf")
     more = tail.join(others, "word").groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("logs"), F.sum("tf").alias("known"))
     none = F.lit(0)
