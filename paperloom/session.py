@@ -65,11 +65,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and read it back: cut lineage that survives a lost executor."""
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and read it back: cut lineage that survives a lost executor.
+
+    ``compression``: a Parquet codec instead of the session's.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/paperloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
