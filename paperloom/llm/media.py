@@ -18,6 +18,8 @@ from .common import FILTER_BITS, column_slices, fixed_filter, in_filter, materia
 UNIT = 64
 #: Sizes of chunks: least, most, and the bits of the rolling hash that are zero at a cut.
 LEAST, MOST, CUT_BITS = 256, 8192, 10
+#: Parquet codec of the store, whose size is the operator's disk.
+CODEC = "zstd"
 _RATE = 8000
 _HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 _GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.uint16)
@@ -149,9 +151,9 @@ def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 shared = [any(away for _, _, away in parts) for _, _, parts in found]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([n for n, _, _ in found], pa.int64()), pa.array(sha), pa.array(shared), pa.array(lists, _CHUNKS)], ["doc_id", "n_bytes", "media_sha256", "shared", "chunks"])
 
-    chunks = materialize(docs.select("text").mapInArrow(write_chunks, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes")))
+    chunks = materialize(docs.select("text").mapInArrow(write_chunks, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes")), CODEC)
     media = docs.mapInArrow(write_media, "doc_id long, n_bytes long, media_sha256 string, shared boolean, chunks array<struct<digest: binary, bytes: binary>>")
-    return materialize(media.withColumn("row", F.monotonically_increasing_id())), chunks
+    return materialize(media.withColumn("row", F.monotonically_increasing_id()), CODEC), chunks
 
 
 def read_store(media: DataFrame, chunks: DataFrame) -> DataFrame:
