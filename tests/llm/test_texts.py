@@ -217,6 +217,35 @@ def test_lm_is_normalised():
     assert not lm.within(np.array([0, v.end]), np.array([0, 0]), np.array([0, 0]), v, m).any()
 
 
+def test_lm_full_endings_take_further_classes():
+    rng = np.random.default_rng(1)
+    tails = rng.choice(4, 60, p=[0.7, 0.3, 0, 0])
+    members = lm.spread_out(tails, 4, full=8)
+    assert np.bincount(members).max() <= 8 and members.max() + 1 == len(np.unique(np.append(members, range(4))))
+    assert all(len(set(tails[members == k])) == 1 for k in set(members.tolist()))  # a class has words of one ending
+    assert lm.spread_out(np.zeros(0, np.int64), 4).size == 0
+    words = [b"w%d" % i for i in range(62)]
+    rest = np.array([3, 0, 1, 0])
+    v = lm.Vocabulary({w: i for i, w in enumerate(words)}, np.arange(99, 37, -1), 2, 4, members, rest, rest, 5000, 66, 4)
+    m = lm.Model.start(v)
+    m.train(iter([v.stream(rng.integers(0, v.end, 4000), np.full(400, 10))]), v, 0.1, 0)
+    assert v.classes == 2 + v.groups + 1 and v.groups > 4
+    one, two, bias, norm = m.tables()
+    assert np.allclose(np.exp(one[:, None, :] + two[None, :, :] + bias - norm[:, :, None]).sum(2), 1, atol=1e-4)
+    for k in range(v.groups):
+        codes = np.array([i for i in range(v.own, v.end) if v.class_of[i] == v.own + k])
+        assert abs(np.exp(lm.within(codes, np.full(len(codes), 1), np.full(len(codes), 0), v, m)).sum() - 1) < 1e-5
+
+
+@pytest.mark.parametrize("codes", [[5], [3, 3, 3, 1], list(range(40)) + [7] * 300 + [9, 9]])
+def test_lm_sums_rows_by_code(codes):
+    for kind in (np.int16, np.int32):
+        rows = np.random.default_rng(2).normal(size=(len(codes), 3)).astype(np.float32)
+        used, got = lm._sums(np.array(codes, kind), rows)
+        assert used.tolist() == sorted(set(codes))
+        assert np.allclose(got, [rows[np.array(codes) == c].sum(0) for c in used], atol=1e-4)
+
+
 def test_lm_does_not_depend_on_the_layout(spark, small, monkeypatch):
     monkeypatch.setattr(lm, "SHARD", 30_000)
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
