@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,6 +63,27 @@ def at_year(facts: DataFrame, metrics: DataFrame, keys: list[str], year: str, va
     return facts.join(last.withColumnRenamed("_y", year), [*keys, year], "left")
 
 
+def nearest(rows: DataFrame, points: DataFrame, most: float) -> DataFrame:
+    """(id, key) of the point of a row's group with the least distance, ``most`` at most; the smallest key wins ties.
+
+    rows: (id, grp, v), points: (key, grp, v), v double. Different values are put in order within
+    cells wider than ``most``, points in three cells each, and each one looks at the last
+    point on either side, so rows and points never meet as pairs. Two values on one side of a
+    row count as ties only if they are equal.
+    """
+    width = 2.0 ** (math.floor(math.log2(most)) + 1)
+    real = lambda df: df.where(F.col("v").isNotNull() & F.col("grp").isNotNull() & (F.abs("v") < float("inf")))
+    cell = F.floor(F.col("v") / width).cast("double")
+    at = real(rows).select("grp", "v").distinct().select("grp", cell.alias("cell"), "v", F.lit(None).alias("point"))
+    marks = real(points).groupBy("grp", "v").agg(F.min("key").alias("key")).select("grp", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), "v", F.struct("v", "key").alias("point"))
+    own = Window.partitionBy("grp", "cell")
+    side = lambda order: F.last("point", ignorenulls=True).over(own.orderBy(order, F.col("point").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    seen = at.unionByName(marks).withColumn("low", side(F.asc("v"))).withColumn("high", side(F.desc("v"))).where("point IS NULL")
+    gaps = F.transform(F.array("low", "high"), lambda p: F.when(F.abs(p["v"] - F.col("v")) <= most, F.struct(F.abs(p["v"] - F.col("v")).alias("gap"), p["key"].alias("key"))))
+    found = seen.select("grp", "v", F.array_min(gaps).alias("best")).where("best IS NOT NULL")
+    return rows.join(found, ["grp", "v"]).groupBy("id").agg(F.min("best")["key"].alias("key"))
+
+
 def longest_prefix(ids: DataFrame, table: DataFrame, longest: int = 6, shortest: int = 3) -> DataFrame:
     """(id, value) of the longest prefix of ``id`` in ``table`` (prefix, value); null without one."""
     tries = ids.select("id").distinct().select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda n: F.left("id", n)))).alias("prefix"))

@@ -105,8 +105,6 @@ def same_year_metric(spark, sf_dir):
 )
 def closest_value(spark, sf_dir):
     """Nearest within a bound, first key wins."""
-    c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
-    gap = F.abs(F.col("p_retailprice") - F.col("c_acctbal"))
-    near = c.join(p, c.c_nationkey == p.p_size).where(gap <= 500)
-    best = Window.partitionBy("c_custkey").orderBy(gap, "p_partkey")
-    return near.withColumn("n", F.row_number().over(best)).where("n = 1").select("c_custkey", F.col("p_partkey").alias("closest"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("grp"), F.col("c_acctbal").alias("v"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("grp"), F.col("p_retailprice").alias("v"))
+    return joins_by_time.nearest(c, p, 500.0).select(F.col("id").alias("c_custkey"), F.col("key").alias("closest"))

@@ -112,6 +112,22 @@ def test_copies_are_resolved_once(spark, monkeypatch):
     assert seen == [len({(r[1], r[3][0]) for r in rows if (r[1] or "").strip() and r[3]})]
 
 
+def test_nearest_meets_no_pairs(spark):
+    """The nearest point of a group equals brute force, over ties, edges of cells, copies and odd values, and no join gives more than the rows."""
+    rng = random.Random(6)
+    odd = [float("nan"), float("inf"), -0.0, 0.0, 511.5, 512.0, -1e-13, 500.0, 1e300, None]
+    rows = [(i, i % 3, rng.choice([*odd, *(rng.randrange(-4000, 4000) / 4 for _ in range(20))])) for i in range(300)] + [(7, 1, 3.25)]
+    points = [(i, i % 4, rng.choice([*odd, *(rng.randrange(-4000, 4000) / 4 for _ in range(20))])) for i in range(300)]
+    best = {}
+    for i, g, v in rows:
+        hits = [(abs(w - v), k) for k, h, w in points if g == h and v is not None and w is not None and abs(w - v) <= 500]
+        if hits:
+            best[i] = min([*hits, *([best[i]] if i in best else [])])
+    got, most = most_joined(spark, locate.nearest(spark.createDataFrame(rows, "id long, grp int, v double"), spark.createDataFrame(points, "key long, grp int, v double"), 500.0))
+    assert len(got) == len(best) and {r.id: r.key for r in got} == {i: k for i, (_, k) in best.items()}
+    assert 0 < most <= len(rows)
+
+
 def test_copies_in_networks_are_compared_once(spark):
     """Titles that a network has many times do not meet each other as pairs of copies."""
     names = ["large ring", "Ring!", "hot bolt", "", None]
