@@ -182,6 +182,31 @@ def test_pattern_language():
     assert patterns.contrasts(patterns.DEFAULT, sentence(("In", "in", "", None), ("contrast", "contrast", "", None)))
 
 
+def test_places_of_patterns(spark, monkeypatch):
+    """Features of a batch equal those of a search at every place, and only places where something may begin are looked at."""
+    rng = random.Random(8)
+    tables = patterns.Tables.of(
+        concepts={"SELF": "we, our own", "WORK": "new model, model, we model"},
+        actions={"USE": "use, make use"},
+        formulaic={"F": "@USE the @WORK, #J @WORK, the", "G": "CREF @SELF", "CONTRAST_FORMULAIC": "however, in CITATION", "COMPARISON_FORMULAIC": "like SELFCITATION"},
+        agents={"US_AGENT": "@SELF, CITATION", "THEM_AGENT": "the @WORK, SELFCITATION"},
+    )
+    words = ["we", "our", "own", "new", "model", "use", "make", "the", "however", "in", "contrast", "like", "CITATION", "SELFCITATION", "CREF", "x", None]
+    token = lambda: (w := rng.choice(words[:-1]), rng.choice([w.lower(), rng.choice(words)]), rng.choice(["VB", "VBN", "JJ", "CD", "", None]), rng.choice(["subj", None]))
+    rows = [(i, [token() for _ in range(rng.randrange(0, 9))] if i % 20 else None, rng.choice([0, 3, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, tokens array<struct<word string, lemma string, pos string, ArgType string>>, cite_index int")
+    for t in (tables, patterns.DEFAULT):
+        got = {r.id: r.features for r in patterns.sentence_features(df.repartition(3), t).collect()}
+        for i, s, c in rows:
+            s, c = sentence(*(s or [])), c or 0
+            assert got[i] == {**patterns.pattern_features(t, s, c), **patterns.lexicon_features(t.concepts, s, c), **patterns.lexicon_features(t.actions, s, c, "V"), "contrast": int(patterns.contrasts(t, s)), "compare": int(patterns.compares(t, s))}
+    looked, inner = [], patterns.in_lexicon
+    monkeypatch.setattr(patterns, "in_lexicon", lambda *a, **k: looked.append(a[2]) or inner(*a, **k))
+    plain = spark.createDataFrame([(" ".join(["word"] * 500 + ["we"] + ["word"] * 500),)], "text string").select(patterns.plain_tokens(F.col("text")).alias("tokens")).toArrow()
+    (s, places), = patterns.Starts(patterns.DEFAULT).sentences(plain.column(0).combine_chunks())
+    assert patterns.pattern_features(patterns.DEFAULT, s, 0, places=places) == {"US_AGENT_AS_FORMULAIC": 500} and set(looked) == {500}
+
+
 def test_windows(spark):
     df = spark.createDataFrame([("p", i, h) for i, h in enumerate([0, 0, 0, 1, 0, 0])], "p string, i int, h int")
     got = [r.distance for r in positions.first_hit(df, ["p"], "i", F.col("h") == 1).orderBy("i").collect()]
