@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -60,16 +63,44 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000
     """(keys, mean, low, high): 2.5 and 97.5 % places of the mean over Poisson-weighted draws.
 
     Each row is weighed by Poisson(1) numbers from a hash of its own, which makes the
-    draws sums that add up over partitions; no group is gathered.
+    draws sums that add up over partitions; no group is gathered. Weights are summed where
+    they are drawn, 256 rows and 256 groups at a time, so neither they nor rows times draws are kept.
     """
     ship_package(df.sparkSession)
-
-    @F.pandas_udf("array<double>")
-    def weights(ids: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, int(i) & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, draws).astype(float) for i in ids])
-
-    rows = df.where(F.col(value).isNotNull()).withColumn("_w", weights(F.xxhash64(*df.columns)))
-    each = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.posexplode("_w").alias("_d", "_w")).where("_w > 0").groupBy(*keys, "_d").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_h"))
+    sums = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema), "_s array<double>, _n array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([g[i] for g in held], t) for i, t in enumerate(types)]
+            flat = [pa.array(np.concatenate([h[j] for h in held.values()]) if held else np.zeros(0)) for j in (0, 1)]
+            places = pa.array(np.arange(len(held) + 1, dtype=np.int32) * draws, pa.int32())
+            return pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(places, f) for f in flat)], names=[*keys, "_s", "_n"])
+
+        for batch in batches:
+            types = [batch.column(k).type for k in keys]
+            places: dict[tuple, list[int]] = {}
+            for i, g in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * len(batch)):
+                places.setdefault(g, []).append(i)
+            v, h = batch.column("_v").to_numpy(zero_copy_only=False), batch.column("_h").to_pylist()
+            for g, at in places.items():
+                if g not in held and len(held) == 256:
+                    yield out()
+                    held.clear()
+                total = held.setdefault(g, np.zeros((2, draws)))
+                for low in range(0, len(at), 256):
+                    some = at[low : low + 256]
+                    w = np.array([np.random.default_rng([seed, h[i] & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, draws) for i in some], dtype=float)
+                    # draws without this group's rows add nothing, not even a value that is no number
+                    total[0] += np.where(w > 0, w * v[some][:, None], 0.0).sum(axis=0)
+                    total[1] += w.sum(axis=0)
+        if held:
+            yield out()
+
+    each = rows.mapInArrow(run, sums).select(*keys, F.posexplode(F.arrays_zip("_s", "_n")).alias("_d", "_z")).groupBy(*keys, "_d").agg(F.sum("_z._s").alias("_s"), F.sum("_z._n").alias("_n")).where("_n > 0").select(*keys, (F.col("_s") / F.col("_n")).alias("_m"))
     ends = each.groupBy(*keys).agg(F.sort_array(F.collect_list("_m")).alias("_a")).select(*keys, F.get("_a", F.floor(F.size("_a") * 0.025).cast("int")).alias("low"), F.get("_a", F.least(F.floor(F.size("_a") * 0.975).cast("int"), F.size("_a") - 1)).alias("high"))
     return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)
 

@@ -128,6 +128,26 @@ def test_nearest_meets_no_pairs(spark):
     assert 0 < most <= len(rows)
 
 
+def test_bootstrap_sums_weights_where_they_are_drawn(spark):
+    """Means and ends equal those of weights drawn row by row; rows times draws are never a table."""
+    import numpy as np
+
+    rows = [([None, "a", "b", f"g{i}"][i % 4], i, None if i % 11 == 0 else i * 0.5) for i in range(1200)]
+    df = spark.createDataFrame(rows, "g string, id long, v double").repartition(3)
+    out = analytics.bootstrap_mean(df, ["g"], "v", draws=40)
+    got = {r.g: r for r in out.collect()}
+    hashes = {r.id: r.h for r in df.select("id", F.xxhash64(*df.columns).alias("h")).collect()}
+    for g in ("a", "b"):
+        own = [(hashes[i], v) for k, i, v in rows if k == g and v is not None]
+        w = np.array([np.random.default_rng([3, h & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, 40) for h, _ in own])
+        means = sorted((w * np.array([v for _, v in own])[:, None]).sum(axis=0) / w.sum(axis=0))
+        assert abs(got[g]["low"] - means[1]) < 1e-9 and abs(got[g]["high"] - means[39]) < 1e-9
+        assert abs(got[g]["mean"] - sum(v for _, v in own) / len(own)) < 1e-9
+    assert set(got) >= {"a", "b", "g3"} and None not in got
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def test_copies_in_networks_are_compared_once(spark):
     """Titles that a network has many times do not meet each other as pairs of copies."""
     names = ["large ring", "Ring!", "hot bolt", "", None]
