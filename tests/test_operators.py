@@ -148,6 +148,30 @@ def test_bootstrap_sums_weights_where_they_are_drawn(spark):
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
 
 
+def test_document_topics_hold_no_matrix(spark, monkeypatch):
+    """Documents of two vocabularies fall apart, parts and summed additions change nothing, and the model is never fitted on the driver."""
+    import numpy as np
+
+    monkeypatch.setattr(topics, "LDA", None)
+    monkeypatch.setattr(topics, "CountVectorizer", None)
+    x = np.array([0.01, 0.5, 1.0, 7.0, 300.0])
+    h = 1e-5
+    assert abs(topics._digamma(np.array([1.0]))[0] + 0.5772156649015329) < 1e-9
+    assert np.allclose(topics._trigamma(x[1:]), (topics._digamma(x[1:] + h) - topics._digamma(x[1:] - h)) / (2 * h), rtol=1e-4)
+    rng = random.Random(2)
+    rows = [(f"{i}", [f"{'ab'[i % 2]}{rng.randrange(12)}" for _ in range(rng.randrange(20, 30))]) for i in range(80)] + [("none", [])]
+    docs = spark.createDataFrame(rows, "id string, words array<string>").repartition(3)
+    got = {}
+    for part in (100_000, 300):
+        got[part] = {r.id: r.topics for r in topics.document_topics(docs, topics=2, rounds=10, rate=0.6, words_a_part=part).collect()}
+    one, many = got.values()
+    assert one.keys() == many.keys() == {r[0] for r in rows} and one["none"] == [0.0, 0.0]
+    assert all(max(abs(p - q) for p, q in zip(one[i], many[i])) < 0.01 for i in one)
+    assert all(abs(sum(v) - 1) < 1e-9 for i, v in one.items() if i != "none")
+    side = {p: {max((0, 1), key=lambda k: one[str(i)][k]) for i in range(p, 80, 2)} for p in (0, 1)}
+    assert len(side[0]) == len(side[1]) == 1 and side[0] != side[1]
+
+
 def test_copies_in_networks_are_compared_once(spark):
     """Titles that a network has many times do not meet each other as pairs of copies."""
     names = ["large ring", "Ring!", "hot bolt", "", None]
